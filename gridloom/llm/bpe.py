@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,7 +23,8 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import id_text
 
 #: Table sizes; when one is full it is emptied, which costs time and changes no result.
-MAX_STATES, MAX_SEGMENTS = 150_000, 150_000
+MAX_STATES, MAX_SEGMENTS = 300_000, 100_000
+_PACK = struct.pack
 #: The characters of White_Space, which \s names in the splitting pattern.
 SPACES = r"\t-\r \x85\xa0  -     　"
 #: Texts are cut before white space; what the pattern finds never depends on what follows such a segment.
@@ -42,14 +44,15 @@ class Transducer:
 
     def reset(self) -> None:
         self.ids: dict[tuple[int, bytes], int] = {}
-        self.lasts: list[tuple] = []  # by state: (token sent last, bytes since, last tokens of their prefixes)
+        # By state: token sent last, bytes since, last tokens of their prefixes, places from which a token may still grow.
+        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state(-1, b"", ())
+        self._state(-1, b"", (), ())
 
-    def _state(self, sent: int, tail: bytes, last: tuple[int, ...]) -> int:
+    def _state(self, sent: int, tail: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
         if (s := self.ids.get((sent, tail))) is None:
-            s = self.ids[sent, tail] = len(self.lasts)
-            self.lasts.append((sent, tail, last))
+            s = self.ids[sent, tail] = len(self.states)
+            self.states.append((sent, tail, last, live))
             self.moves.append({})
         return s
 
@@ -68,39 +71,37 @@ class Transducer:
         if a < 0:
             return True
         if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             x, y = self.tokens[a], self.tokens[b]
             ok = self.pairs[a, b] = self.merged(x + y) == [x, y]
         return ok
 
     def _build(self, s: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        sent, tail, last = self.lasts[s]
+        sent, tail, last, live = self.states[s]
         tail += bytes([byte])
-        n = len(tail)
-        for j in range(max(0, n - self.longest), n):
-            t = self.ranks.get(tail[j:])
+        n, ranks = len(tail), self.ranks
+        starts = (*live, n - 1)
+        for j in starts:  # the longest first
+            t = ranks.get(tail[j:])
             if t is not None and self.fits(last[j - 1] if j else sent, t):
                 break
         last += (t,)
-        # From every start a token may still grow from, walk back; the latest place common to all is settled.
-        if tail in self.prefixes:
-            common = 0
-        else:
-            walks = []
-            for j in (j for j in range(1, n + 1) if j == n or tail[j:] in self.prefixes):
-                walk = set()
-                while j:
-                    walk.add(j)
-                    j -= len(self.tokens[last[j - 1]])
-                walks.append(walk)
-            common = max(set.intersection(*walks), default=0)
-        out = self._path(last, common)
+        live = tuple([j for j in starts if tail[j:] in self.prefixes])
+        # All continuations leave from a live place or from here; the latest place common to their ways is settled.
+        common = 0
+        if 0 not in live:
+            ends = {*live, n}
+            while len(ends) > 1:
+                ends.remove(j := max(ends))
+                ends.add(j - len(self.tokens[last[j - 1]]))
+            common = ends.pop()
         if common:
             # What follows the settled place depends on nothing before its token.
-            nxt = self._state(out[-1], tail[common:], tuple(last[common:]))
+            out = self._path(last, common)
+            nxt = self._state(out[-1], tail[common:], last[common:], tuple([j - common for j in live]))
         else:
-            nxt = self._state(sent, tail, last)
+            out, nxt = (), self._state(sent, tail, last, live)
         move = self.moves[s][byte] = nxt, out
         return move
 
@@ -112,7 +113,7 @@ class Transducer:
         return tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.lasts) > self.max_states:
+        if len(self.states) > self.max_states:
             self.reset()
         out: list[int] = []
         s, moves = 0, self.moves
@@ -121,7 +122,7 @@ class Transducer:
             s = move[0]
             if move[1]:
                 out += move[1]
-        last = self.lasts[s][2]
+        last = self.states[s][2]
         out += self._path(last, len(last))
         return out
 
@@ -159,19 +160,22 @@ class Codec:
         self.fst, self.max_segments = Transducer(ranks), max_segments
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACES}").replace(r"\s", rf"[{SPACES}]").replace(r"\S", rf"[^{SPACES}]"))
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         table = [b""] * (max(self.fst.tokens) + 1)
         for i, t in self.fst.tokens.items():
             table[i] = t
         self.table = table
 
     def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pattern.findall(segment):
-            ids += self.fst.encode(piece.encode())
-        out = np.array(ids, "<u4").tobytes()
+        if (out := self.older.get(segment)) is None:
+            ids: list[int] = []
+            for piece in self.pattern.findall(segment):
+                ids += self.fst.encode(piece.encode())
+            out = _PACK(f"<{len(ids)}I", *ids)
         if len(segment) <= LONG_SEGMENT:
             if len(self.known) >= self.max_segments:
-                self.known.clear()
+                # Segments that are met again move over from the older half.
+                self.known, self.older = {}, self.known
             self.known[segment] = out
         return out
 

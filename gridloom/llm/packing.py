@@ -25,7 +25,7 @@ from gridloom.llm.common import id_text
 CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
 SHARD_PIECES = 32_768
-MAX_CHUNKS = 200_000
+MAX_CHUNKS = 100_000
 #: Fuller bins tried as partners of each of so many poorly filled ones, and passes over them.
 PARTNERS, POOR, PASSES = 24, 400, 3
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
@@ -40,6 +40,7 @@ class WordTokenizer:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         # Merges with word ends, as ranks over bytes: 0xFF, which UTF-8 never has, stands for the end and joins its byte first.
         model = json.load(open(path, encoding="utf-8"))["model"]
         self.ids, ranks = {}, {bytes([b]): 60_000 + b for b in range(256)}
@@ -52,8 +53,8 @@ class WordTokenizer:
         for s, i in model["vocab"].items():
             if not s.startswith("<|") and (t := raw(s)) in ranks:
                 self.ids[ranks[t]] = i
+        self.packed = {r: i.to_bytes(4, "little") for r, i in self.ids.items()}
         self.bpe = tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.plain = re.compile(r"[a-z]+|[0-9]|[^\sa-z0-9']+", re.A)
         self.simple = re.compile(r"[a-z0-9.,;:!?#*$%&()=\-+_/\"@ßàâäçèéêëíîïñóôöùúûüœá]+").fullmatch
         self.letters = re.compile(r"[a-zßàâäçèéêëíîïñóôöùúûüœá]+|[0-9]|[.,;:!?#*$%&()=\-+_/\"@]+").findall
 
@@ -62,18 +63,20 @@ class WordTokenizer:
         low = s.lower()
         if not self.simple(low):
             return None
-        ids, get, bpe = [], self.ids, self.bpe
+        ids, get, bpe = b"", self.packed, self.bpe
         for piece in self.letters(low):
-            ids += [get[r] for r in bpe(piece.encode() + b"\xff")]
-        return np.array(ids, "<u4").tobytes()
+            for r in bpe(piece.encode() + b"\xff"):
+                ids += get[r]
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > MAX_CHUNKS:
-            self.known.clear()
-        known, split = self.known, [_CHUNK.findall(t) for t in texts]
+            # Chunks that are met again move over from the older half.
+            self.known, self.older = {}, self.known
+        known, older, split = self.known, self.older, [_CHUNK.findall(t) for t in texts]
         rest = []
         for c in set().union(*split) - known.keys():
-            if (x := self.chunk(c)) is None:
+            if (x := older.get(c)) is None and (x := self.chunk(c)) is None:
                 rest.append(c)
             else:
                 known[c] = x
