@@ -28,7 +28,7 @@ ROUNDS = 6
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24}"),
     ("secret", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9]{20,}\b"),
-    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s{0,3}[:=]\s{0,3}[\"']?)(?P<v>[A-Za-z0-9+/_\-]{8,200})"),
+    ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?P<v>[A-Za-z0-9+/_\-]{8,200})"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("card", r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?![\d.]\d)(?!\d)"),
@@ -40,8 +40,10 @@ PATTERNS: list[tuple[str, str]] = [
     ("name_f", r"\bг-жа (?P<v>[А-Я][а-я]+(?: [А-Я][а-я]+)?)"),
     ("name_m", r"\bг-н (?P<v>[А-Я][а-я]+(?: [А-Я][а-я]+)?)"),
 ]
-#: A text without any of these has no entity.
-CUE = re.compile(r"[@\d]|(?i:passw|pwd|secret|token|api[_-]?key|access[_-]?key)|AKIA|ASIA|gh[pousr]_|sk-|\b(?:Mrs?|Ms|Miss|Mme|Frau|Herr|Monsieur|Señora?|Sra?)\b|\bг-")
+#: A line without a digit and any of these has no entity. Patterns never cross a line.
+LITERALS = ["@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "Mr", "Ms", "Miss", "Mme", "Frau", "Herr", "Monsieur", "Señor", "Sr", "г-"]
+KEYWORDS = ["passw", "pwd", "secret", "token", "key"]
+_DIGIT = re.compile(r"\d").search
 #: Syllables that names are built from, by script, and the ends that show gender.
 SYLLABLES = {"latin": ["ma", "re", "lo", "vi", "da", "ni", "so", "ka", "be", "ri", "ta", "mo", "le", "ju", "an", "el"], "cyrillic": ["ма", "ре", "ло", "ви", "да", "ни", "со", "ка", "бе", "ри", "та", "мо", "ле", "ю", "ан", "ел"]}
 ENDS = {("latin", "name_f"): "na", ("latin", "name_m"): "ren", ("cyrillic", "name_f"): "на", ("cyrillic", "name_m"): "рен"}
@@ -49,16 +51,27 @@ ENDS = {("latin", "name_f"): "na", ("latin", "name_m"): "ren", ("cyrillic", "nam
 _FOUND = re.compile("|".join(f"(?P<t{k}>{p.replace('(?P<v>', f'(?P<v{k}>')})" for k, (_, p) in enumerate(PATTERNS)))
 
 
+def _may_hold(text: str) -> bool:
+    if _DIGIT(text) or any(x in text for x in LITERALS):
+        return True
+    low = text.lower()
+    return any(x in low for x in KEYWORDS)
+
+
 def find(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of the entities of a text, in order and apart."""
-    if not CUE.search(text):
-        return []
-    out = []
-    for m in _FOUND.finditer(text):
-        k = int(m.lastgroup[1:]) if m.lastgroup[0] == "t" else int(m.lastgroup[1:])
-        g = f"v{k}" if m.groupdict().get(f"v{k}") is not None else f"t{k}"
-        kind = PATTERNS[k][0]
-        out.append((m.start(g), m.end(g), kind, canonical(kind, m[g])))
+    out: list[tuple[int, int, str, str]] = []
+    if not _may_hold(text):
+        return out
+    at = 0
+    for line in text.split("\n"):
+        if _may_hold(line):
+            for m in _FOUND.finditer(line):
+                k = int(m.lastgroup[1:])
+                g = f"v{k}" if m.groupdict().get(f"v{k}") is not None else f"t{k}"
+                kind = PATTERNS[k][0]
+                out.append((at + m.start(g), at + m.end(g), kind, canonical(kind, m[g])))
+        at += len(line) + 1
     return out
 
 
