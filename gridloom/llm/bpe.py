@@ -1,10 +1,11 @@
 """Operator 9: byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
 Every string has exactly one tokenisation whose neighbouring tokens are each what BPE makes of their joined bytes. So
-the last token of every prefix follows from the last tokens of shorter prefixes. A transducer state is the last token
-sent out and the bytes read since; reading a byte extends these, and as soon as all continuations (starts from which a
-vocabulary token may still grow) agree on the tokens so far, those are emitted: the lookahead is at most the longest
-token. States and transitions are built when first needed, kept in a bounded table, and shared by all pieces.
+the last token of every prefix follows from the last tokens of shorter prefixes. The merges compile into an automaton
+whose state is the longest suffix read that begins a token, and whose output is the tokens that end there; its states
+and moves are built when first needed. Of the tokens that end at a byte, the one that fits the token before it is the
+last of that prefix. Any later token starts within the state's suffix, so that what all ways back from there share is
+settled: that is emitted, and no more than a few times the longest token is ever held.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from pyspark.sql import DataFrame
 
 from gridloom.llm.common import id_text
 
-#: Table sizes; when one is full it is emptied, which costs time and changes no result.
-MAX_STATES, MAX_SEGMENTS = 300_000, 100_000
+#: Table sizes; a full one is emptied, which costs time and changes no result.
+MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 200_000, 400_000, 100_000
+#: Bytes held before settled tokens are looked for.
+HOLD = 512
 _PACK = struct.pack
 #: The characters of White_Space, which \s names in the splitting pattern.
 SPACES = r"\t-\r \x85\xa0  -     　"
@@ -34,98 +37,132 @@ LONG_SEGMENT = 64
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES, hold: int = HOLD):
+        self.ranks, self.max_states, self.hold = ranks, max_states, hold
         self.tokens = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.longest = max(map(len, ranks))
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.lengths = {i: len(t) for t, i in ranks.items()}
+        self.starts = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
+        self.halves: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.ids: dict[tuple[int, bytes], int] = {}
-        # By state: token sent last, bytes since, last tokens of their prefixes, places from which a token may still grow.
-        self.states: list[tuple[int, bytes, tuple[int, ...], tuple[int, ...]]] = []
-        self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._state(-1, b"", (), ())
-
-    def _state(self, sent: int, tail: bytes, last: tuple[int, ...], live: tuple[int, ...]) -> int:
-        if (s := self.ids.get((sent, tail))) is None:
-            s = self.ids[sent, tail] = len(self.states)
-            self.states.append((sent, tail, last, live))
+        self.ids: dict[bytes, int] = {b"": 0}
+        self.suffixes: list[bytes] = [b""]
+        self.moves: list[dict[int, int]] = [{}]
+        self.ends: list[tuple[tuple[int, int], ...]] = [()]
+
+    def _build(self, state: int, byte: int) -> int:
+        tail = self.suffixes[state] + bytes([byte])
+        while tail not in self.starts:
+            tail = tail[1:]
+        if (s := self.ids.get(tail)) is None:
+            s = self.ids[tail] = len(self.suffixes)
+            self.suffixes.append(tail)
             self.moves.append({})
+            self.ends.append(tuple((self.ranks[tail[j:]], len(tail) - j) for j in range(len(tail)) if tail[j:] in self.ranks))
+        self.moves[state][byte] = s
         return s
 
-    def merged(self, data: bytes) -> list[bytes]:
-        """BPE as its definition has it: merge the pair of the lowest rank, leftmost first."""
+    def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
+        """BPE as its definition has it, by merges of a rank under `below`: the lowest rank first, leftmost first."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, i = min((self.ranks.get(a + b, 1 << 60), i) for i, (a, b) in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 60:
+            if rank >= below:
                 break
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def half(self, t: int) -> tuple[int, int]:
+        """The two tokens whose merge makes t, or (-1, -1) for a byte."""
+        if (h := self.halves.get(t)) is None:
+            parts = self.merged(self.tokens[t], t) if self.lengths[t] > 1 else []
+            h = self.halves[t] = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (-1, -1)
+        return h
+
     def fits(self, a: int, b: int) -> bool:
-        """Whether token b can follow token a."""
-        if a < 0:
-            return True
-        if (ok := self.pairs.get((a, b))) is None:
-            if len(self.pairs) > 300_000:
+        """Whether token b can follow token a: undoing their merges, latest first, no merge across the gap comes before the one undone."""
+        key = a << 32 | b
+        if (ok := self.pairs.get(key)) is None:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
-            x, y = self.tokens[a], self.tokens[b]
-            ok = self.pairs[a, b] = self.merged(x + y) == [x, y]
+            limit, x, y = 1 << 60, a, b
+            while True:
+                if self.ranks.get(self.tokens[x] + self.tokens[y], 1 << 60) < limit:
+                    ok = False
+                    break
+                single_x, single_y = self.half(x)[1] < 0, self.half(y)[0] < 0
+                if single_x and single_y:
+                    ok = True
+                    break
+                # Of equal merges the left one goes first, so that the right one is undone first.
+                if single_y or not single_x and x > y:
+                    limit, x = x, self.half(x)[1]
+                else:
+                    limit, y = y + 1, self.half(y)[0]
+            self.pairs[key] = ok
         return ok
 
-    def _build(self, s: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        sent, tail, last, live = self.states[s]
-        tail += bytes([byte])
-        n, ranks = len(tail), self.ranks
-        starts = (*live, n - 1)
-        for j in starts:  # the longest first
-            t = ranks.get(tail[j:])
-            if t is not None and self.fits(last[j - 1] if j else sent, t):
-                break
-        last += (t,)
-        live = tuple([j for j in starts if tail[j:] in self.prefixes])
-        # All continuations leave from a live place or from here; the latest place common to their ways is settled.
-        common = 0
-        if 0 not in live:
-            ends = {*live, n}
-            while len(ends) > 1:
-                ends.remove(j := max(ends))
-                ends.add(j - len(self.tokens[last[j - 1]]))
-            common = ends.pop()
-        if common:
-            # What follows the settled place depends on nothing before its token.
-            out = self._path(last, common)
-            nxt = self._state(out[-1], tail[common:], last[common:], tuple([j - common for j in live]))
-        else:
-            out, nxt = (), self._state(sent, tail, last, live)
-        move = self.moves[s][byte] = nxt, out
-        return move
-
-    def _path(self, last: tuple[int, ...], j: int) -> tuple[int, ...]:
-        out = []
-        while j:
-            out.append(last[j - 1])
-            j -= len(self.tokens[last[j - 1]])
-        return tuple(reversed(out))
-
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
+        if len(piece) > self.hold:
+            return [t for part in self.stream(piece) for t in part]
+        last: list[int] = []
+        self._read(0, piece, last, -1)
+        return self._path(last, len(last))
+
+    def _read(self, state: int, data: bytes, last: list[int], sent: int) -> int:
+        """Append the last tokens of the prefixes that end in data; sent is the token emitted before those in `last`."""
+        if len(self.suffixes) > self.max_states:
+            tail = self.suffixes[state]
             self.reset()
-        out: list[int] = []
-        s, moves = 0, self.moves
-        for byte in piece:
-            move = moves[s].get(byte) or self._build(s, byte)
-            s = move[0]
-            if move[1]:
-                out += move[1]
-        last = self.states[s][2]
-        out += self._path(last, len(last))
+            state = 0
+            for byte in tail:
+                state = self._build(state, byte)
+        moves, ends, known, fits, i = self.moves, self.ends, self.pairs.get, self.fits, len(last)
+        for byte in data:
+            s = moves[state].get(byte)
+            state = self._build(state, byte) if s is None else s
+            i += 1
+            for t, n in ends[state]:
+                if n >= i:
+                    if n > i:
+                        continue
+                    a = sent
+                    if a < 0:
+                        break
+                else:
+                    a = last[i - n - 1]
+                ok = known(a << 32 | t)
+                if ok or ok is None and fits(a, t):
+                    break
+            last.append(t)
+        return state
+
+    def _path(self, last: list[int], j: int) -> list[int]:
+        out, lengths = [], self.lengths
+        while j:
+            out.append(t := last[j - 1])
+            j -= lengths[t]
+        out.reverse()
         return out
 
+    def stream(self, data: bytes) -> Iterator[list[int]]:
+        """Tokens of one piece of any length, emitted as they are settled."""
+        state, last, sent = 0, [], -1
+        for k in range(0, len(data), self.hold):
+            state = self._read(state, data[k : k + self.hold], last, sent)
+            i = len(last)
+            ways = set(range(max(0, i - len(self.suffixes[state])), i + 1))
+            while len(ways) > 1:
+                ways.remove(j := max(ways))
+                ways.add(j - self.lengths[last[j - 1]])
+            if settled := ways.pop():
+                out = self._path(last, settled)
+                yield out
+                sent, last = out[-1], last[settled:]
+        yield self._path(last, len(last))
+
 
 class Utf8Stream:
     """Bytes to text piecemeal: a state machine over UTF-8 whose state is how many bytes of the open character came."""

@@ -229,7 +229,7 @@ def test_bpe_matches_library(docs, rows, none):
     for _ in range(400):
         t = "".join(rng.choice("ab'stre \n\t  é日🙂12!?-\x1c\x85　") for _ in range(rng.randrange(60)))
         assert np.frombuffer(c.encode(t), "<u4").tolist() == lib.encode_ordinary(t)
-    c.fst.max_states = 50
+    c.fst.max_states, c.fst.hold = 50, 7
     t = " ".join(WORDS) * 3
     c.known.clear()
     assert np.frombuffer(c.encode(t), "<u4").tolist() == lib.encode_ordinary(t)
