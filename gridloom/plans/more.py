@@ -1 +1,123 @@
-from gridloom.plans.catalog import query  # noqa: F401
+"""Further queries: lookups, scalar functions, exports and delimited text."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from gridloom.functions import scalars as S
+from gridloom.operators import grid as G
+from gridloom.plans.catalog import query, t
+
+
+@query("SELECT c_custkey, coalesce(n_name, '') AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def j1_dictionary_lookup(spark, d):
+    return t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"))
+
+
+@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def j2_star_lookup(spark, d):
+    s, n, r = (t(spark, d, x) for x in ("supplier", "nation", "region"))
+    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "n_name", "r_name")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size BETWEEN 20 AND 30 THEN 'b' WHEN p_size BETWEEN 1 AND 25 THEN 'a' END AS style FROM part")
+def j3_interval_lookup(spark, d):
+    defs = spark.createDataFrame([(1, 25, 0, "a"), (20, 30, 1, "b")], "min int, max int, ord int, style string")
+    return t(spark, d, "part").join(F.broadcast(G.expand_intervals(defs, ["style"])), F.col("p_size") == F.col("c"), "left").select("p_partkey", "style")
+
+
+@query("SELECT p_partkey AS r, p_size AS c, CASE WHEN p_partkey BETWEEN 50 AND 1500 AND p_size BETWEEN 10 AND 12 THEN 2 WHEN p_partkey BETWEEN 1 AND 100 AND p_size BETWEEN 5 AND 20 THEN 1 END::INTEGER AS rect FROM part")
+def j4_merge_cover(spark, d):
+    rects = spark.createDataFrame([(1, 1, 5, 100, 20), (2, 50, 10, 1500, 12)], "id int, r1 long, c1 int, r2 long, c2 int")
+    return G.covered(t(spark, d, "part").select(F.col("p_partkey").alias("r"), F.col("p_size").alias("c")), rects)
+
+
+@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
+def t16_leaf_tags(spark, d):
+    return t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"<(title)>([^<]*)</\1>", 2)).alias("title"))
+
+
+@query("WITH RECURSIVE c(n, root, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 3 UNION ALL SELECT x.n_nationkey, c.root, c.depth + 1 FROM nation x JOIN c ON (x.n_nationkey - 1) // 2 = c.n AND x.n_nationkey >= 3 WHERE c.depth < 30) SELECT n::INTEGER AS style, root::INTEGER AS root, depth::INTEGER AS depth FROM c")
+def j10_style_chain(spark, d):
+    t(spark, d, "nation").createOrReplaceTempView("gridloom_styles")
+    return spark.sql("WITH RECURSIVE c(n, root, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM gridloom_styles WHERE n_nationkey < 3 UNION ALL SELECT x.n_nationkey, c.root, c.depth + 1 FROM gridloom_styles x JOIN c ON (x.n_nationkey - 1) DIV 2 = c.n AND x.n_nationkey >= 3 WHERE c.depth < 30) SELECT CAST(n AS INT) AS style, CAST(root AS INT) AS root, CAST(depth AS INT) AS depth FROM c")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
+def j15_anti_join(spark, d):
+    bad = t(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return t(spark, d, "orders").join(bad, "o_custkey", "left_anti").select("o_orderkey")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr((64 + (p_partkey - 703) // 676 + 1)::INT) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr((65 + ((p_partkey - 27) // 26) % 26)::INT) ELSE '' END || chr((65 + (p_partkey - 1) % 26)::INT) AS letters FROM part WHERE p_partkey > 0")
+def t1_column_letters(spark, d):
+    return t(spark, d, "part").filter("p_partkey > 0").select("p_partkey", S.column_letters(F.col("p_partkey")).alias("letters"))
+
+
+@query("SELECT p_partkey, p_partkey AS back FROM part WHERE p_partkey > 0")
+def t1_letters_round_trip(spark, d):
+    return t(spark, d, "part").filter("p_partkey > 0").select("p_partkey", S.column_number(S.column_letters(F.col("p_partkey"))).alias("back"))
+
+
+_ROMAN = "repeat('M', (n // 1000)::INT) || ['','C','CC','CCC','CD','D','DC','DCC','DCCC','CM'][((n // 100) % 10 + 1)::INT] || ['','X','XX','XXX','XL','L','LX','LXX','LXXX','XC'][((n // 10) % 10 + 1)::INT] || ['','I','II','III','IV','V','VI','VII','VIII','IX'][(n % 10 + 1)::INT]"
+
+
+@query(f"SELECT p_partkey, {_ROMAN} AS numeral FROM (SELECT p_partkey, greatest(1, least(3999, p_partkey)) AS n FROM part)")
+def t3_roman(spark, d):
+    return t(spark, d, "part").select("p_partkey", S.roman(F.col("p_partkey")).alias("numeral"))
+
+
+@query("SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%d.%d', floor(k / 10)::BIGINT, (k % 10)::BIGINT) || ' KB' END AS size FROM (SELECT doc_id, n_chars, floor(n_chars / 1024 * 10 + 0.5) AS k FROM documents)")
+def t13_byte_size(spark, d):
+    return t(spark, d, "documents").select("doc_id", S.byte_size(F.col("n_chars")).alias("size"))
+
+
+@query("SELECT page_id, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+def t12_escape_html(spark, d):
+    return t(spark, d, "pages").select("page_id", S.escape_html(F.col("url")).alias("escaped"))
+
+
+@query("SELECT o_orderkey, (o_orderdate::DATE - DATE '1899-12-30')::BIGINT AS serial, strftime(o_orderdate, '%Y-%m-%d') AS shown FROM orders")
+def n7_serial_dates(spark, d):
+    s = S.serial_of(F.date_trunc("day", "o_orderdate"))
+    return t(spark, d, "orders").select("o_orderkey", F.round(s).cast("long").alias("serial"), S.serial_date_text(F.floor(s + 0.000001)).alias("shown"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity * 96 / 2.54, 6) AS px, round(l_quantity * 4 / 3, 6) AS pt_px FROM lineitem")
+def n9_units(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_quantity") * 96 / 2.54, 6).alias("px"), F.round(S.to_px(F.col("l_quantity"), S.POINT), 6).alias("pt_px"))
+
+
+@query("SELECT p_partkey, '#' || printf('%02x%02x%02x', r, g, b) AS fill, CASE WHEN (0.299 * r + 0.587 * g + 0.114 * b) / 255 > 0.62 THEN '#000000' ELSE '#ffffff' END AS ink FROM (SELECT p_partkey, (p_partkey * 7 % 256)::INT AS r, (p_partkey * 13 % 256)::INT AS g, (p_partkey * 29 % 256)::INT AS b FROM part)")
+def n13_contrast(spark, d):
+    k = F.col("p_partkey")
+    p = t(spark, d, "part").select("p_partkey", S.to_hex(k * 7 % 256, k * 13 % 256, k * 29 % 256).alias("fill"))
+    return p.select("p_partkey", "fill", S.text_on(F.col("fill")).alias("ink"))
+
+
+@query("SELECT n_regionkey, string_agg(n_nationkey || chr(9) || n_name, chr(10) ORDER BY n_nationkey) AS tsv FROM nation GROUP BY n_regionkey")
+def k1_tsv_export(spark, d):
+    return G.tsv(t(spark, d, "nation"), "n_regionkey", ["n_nationkey"], ["n_nationkey", "n_name"])
+
+
+@query("SELECT event_id, k AS field, CASE WHEN regexp_full_match(v, '[-+]?[0-9,]*\\.?[0-9]+([eE][-+]?[0-9]+)?') THEN replace(v, ',', '')::DOUBLE END AS num FROM (SELECT event_id, unnest([1, 2, 3]) AS k, unnest([event_type, value::VARCHAR, event_id::VARCHAR || ',000']) AS v FROM events)")
+def s8_cell_inference(spark, d):
+    e = t(spark, d, "events").select("event_id", F.posexplode(F.array("event_type", F.col("value").cast("string"), F.concat(F.col("event_id").cast("string"), F.lit(",000")))).alias("k", "v"))
+    return e.select("event_id", (F.col("k") + 1).alias("field"), S.cell_number(F.col("v")).alias("num"))
+
+
+@query("SELECT page_id, length(html)::BIGINT AS size FROM pages ORDER BY size DESC, page_id LIMIT 5")
+def o4_largest_parts(spark, d):
+    return t(spark, d, "pages").select("page_id", F.length("html").cast("long").alias("size")).orderBy(F.desc("size"), "page_id").limit(5)
+
+
+@query("SELECT p_name, row_number() OVER (ORDER BY lower(regexp_extract(p_name, '^([^0-9]*)', 1)), regexp_extract(p_name, '([0-9]+)', 1)::BIGINT NULLS FIRST, p_name)::INTEGER AS place FROM (SELECT DISTINCT p_brand AS p_name FROM part)")
+def o1_natural_order(spark, d):
+    b = t(spark, d, "part").select(F.col("p_brand").alias("p_name")).distinct()  # a facet's values: few
+    return b.select("p_name", F.row_number().over(Window.orderBy(S.natural_key(F.col("p_name")), "p_name")).alias("place"))
+
+
+@query("SELECT conv_id, min(turn) AS first_user_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def o7_first_titles(spark, d):
+    return t(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_user_turn"))
