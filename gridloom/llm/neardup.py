@@ -2,9 +2,9 @@
 
 Documents with equal shingle sets are first collapsed into classes. A class's sketch is its k lowest shingle hashes; the
 inverted lists are keyed by two values that follow each other in a sketch. Two sets of Jaccard similarity 0.8 miss every
-such list with a chance under 1e-9, and sets within the sketch never do. Lists up to LIST classes give all their pairs;
-in longer ones a class meets the list's pivot and its neighbours by size, over all of its lists. Union sketches then
-estimate each pair, full sets decide, and components follow.
+such list with a chance under 1e-9. Lists up to LIST classes give all their pairs; in longer ones a class first meets the
+list's pivot and its neighbours by size. Union sketches then estimate each pair, full sets decide, and components follow.
+What long lists leave out is compared afterwards, block by block, where it could still join components.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import _COEF, blocks, checkpointed, id_text, mix, shingle_hashes, text_buffers, word_hashes
@@ -26,6 +26,10 @@ K, RUNS = 64, 32
 #: A pair goes on if at least so many of the union's lowest 64 values are common; at 0.8 a Binomial(64, 0.8) falls below 34 with a chance under 1e-6.
 ESTIMATE = 34
 LIST, NEAR = 48, 6
+#: Linked sets share so many lists at least, but for a chance under 1e-6 at 0.8 (if one set holds the other, less else).
+SHARED = 4
+#: Classes and shingles of a block of a long list: they bound a task's memory.
+CELL_ROWS, CELL_SHINGLES = 2048, 1 << 20
 #: Lists over this share of all entries are dealt over several tasks; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_PARTS = 1e-4, 64
 _MAX = np.uint64(2**64 - 1)
@@ -102,12 +106,15 @@ def _pairs(percent: int):
     return run
 
 
-def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b), a < b: pairs of classes that meet in an inverted list."""
-    entries = checkpointed(_entries(classes))
-    total = entries.count()
-    cut = max(4096, int(total * HOT_SHARE))
-    hot = entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).filter(F.col("c") > cut).select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
+def long_lists(entries: DataFrame) -> DataFrame:
+    """(key, c, p): inverted lists of over LIST entries, their length and their pivot."""
+    return entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).filter(F.col("c") > LIST)
+
+
+def candidates(entries: DataFrame, long: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b), a < b: pairs of classes that meet in an inverted list; in a long one, with its pivot or nearby by size."""
+    cut = max(4096, int(entries.count() * HOT_SHARE))
+    hot = long.filter(F.col("c") > cut).select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
     dealt = entries.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.floor(F.log(1.25, F.col("n").cast("double"))) * HOT_PARTS + F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).cast("int"))
     dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id").select("key", "salt", "id", "n", "hot", "hot_n")
     return dealt.mapInArrow(_pairs(percent), "a long, b long").distinct()
@@ -161,10 +168,10 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return id_text(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
-def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links between classes that make up the same components as all links do. First every class is verified against
-    one partner; then only pairs that are still apart are."""
-    found = checkpointed(estimated(candidates(classes, percent), classes))
+def links(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links among the candidates that make up the same components as all of those do. First every class is verified
+    against one partner; then only pairs that are still apart are."""
+    found = checkpointed(estimated(candidates(entries, long, percent), classes))
     ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
     sets = checkpointed(full_sets(docs, ids, words))
     sure = checkpointed(verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
@@ -175,14 +182,115 @@ def links(docs: DataFrame, classes: DataFrame, words: int = WORDS, percent: int
     return sure.unionByName(verified(left.filter("ca <> cb").select("a", "b"), sets, percent))
 
 
+def apart(entries: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, id, component, n, m, shared, major, sizes): the entries in which links between components can still be found.
+    Such a link was in no list of up to LIST classes, so that all lists its two classes share are long. It shares SHARED of
+    them at least, or what a small set must; so classes in fewer are done, and of the others each leaves its longest lists
+    out, as many as still leave every link one list (the prefix filter)."""
+    e = entries.join(long.select("key"), "key").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    e = checkpointed(e.select("key", "id", "n", "component"))
+    by = e.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    lists = by.groupBy("key").agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    lists = lists.select("key", "m", F.col("top.component").alias("major"), F.array(F.col("m") - F.col("top.c"), F.col("s") - F.col("top.s"), "top.c", "top.s").alias("sizes"))
+    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(((2 * percent - 100) * F.col("n") - 1) / 100)))
+    mine = Window.partitionBy("id")
+    e = e.join(lists, "key").withColumn("rank", F.row_number().over(mine.orderBy(F.desc("m"), "key"))).withColumn("lists", F.count("*").over(mine))
+    e = e.filter((F.col("lists") >= need) & (F.col("rank") >= need)).withColumn("shared", F.collect_list("key").over(mine))
+    return e.select("key", "id", "component", "n", "shared", "major", "sizes")
+
+
+def _bits(rows: np.ndarray, values: np.ndarray, m: int) -> np.ndarray:
+    """A row of bits for each of m sets, a bit for each value that several of them have."""
+    _, at, count = np.unique(values, return_inverse=True, return_counts=True)
+    bit = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    rows, bit = rows[keep], bit[at[keep]]
+    out = np.zeros((m, (int(bit.max()) >> 6) + 1 if len(bit) else 1), np.uint64)
+    np.bitwise_or.at(out, (rows, bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out
+
+
+def _cell_links(key: int, split: bool, rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components within one cell, as pairs of components; none that follows from those before.
+    rows: (id, component, block, shared, set). A pair is compared in the least of the lists that it shares."""
+    m = len(rows)
+    root, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    if m < 2 or (root == root[0]).all():
+        return
+    own = root.copy()
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    n = np.array([len(s) for s in sets])
+    low = np.minimum(n, K)
+    sketch = _bits(np.repeat(np.arange(m), low), np.concatenate([s[:K] for s in sets]), m)
+    before = [np.array([k for k in r[3] if k < key], np.int64) for r in rows]
+    earlier = _bits(np.repeat(np.arange(m), [len(b) for b in before]), np.concatenate(before), m)
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.concatenate([[0], np.cumsum(n)])
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    for i in range(m - 1):
+        ok = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
+        if split:
+            ok &= block[i + 1 :] != block[i]
+        js = np.flatnonzero(ok) + i + 1
+        js = js[~(earlier[js] & earlier[i]).any(axis=1)]
+        common = np.bitwise_count(sketch[js] & sketch[i]).sum(axis=1, dtype=np.int64)
+        js = js[common * K >= ESTIMATE * np.minimum(K, low[js] + low[i] - common)]
+        if not len(js):
+            continue
+        mark[flat[start[i] : start[i + 1]]] = True
+        both = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in js])
+        mark[flat[start[i] : start[i + 1]]] = False
+        for j in js[100 * both >= percent * (n[js] + n[i] - both)]:
+            if root[j] != root[i]:
+                yield int(own[i]), int(own[j])
+                root[root == root[j]] = root[i]
+
+
+def rest(docs: DataFrame, entries: DataFrame, long: DataFrame, comp: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs of components with a link that long lists have left out. A list's classes outside its largest component
+    are compared, by full sets, with all of its classes of other components. Lists are dealt in blocks of at most about
+    CELL_ROWS classes and CELL_SHINGLES shingles, two blocks to a cell; a cell hands on fewer pairs than it has classes."""
+    e = checkpointed(apart(entries, long, comp, percent))
+    sets = full_sets(docs, e.select("id").distinct(), words)
+    blocks_of = lambda c, s: F.greatest(F.lit(1), F.ceil(F.col("sizes")[c] / CELL_ROWS), F.ceil(F.col("sizes")[s] / CELL_SHINGLES)).cast("int")
+    one = (F.col("sizes")[0] + F.col("sizes")[2] <= CELL_ROWS) & (F.col("sizes")[1] + F.col("sizes")[3] <= CELL_SHINGLES)
+    e = e.withColumn("minors", blocks_of(0, 1)).withColumn("majors", blocks_of(2, 3)).withColumn("h", F.xxhash64("id"))
+    e = e.withColumn("block", F.when(one, 0).when(F.col("component") == F.col("major"), F.col("minors") + F.pmod("h", F.col("majors"))).otherwise(F.pmod("h", F.col("minors"))).cast("int"))
+    others = F.when(F.col("block") >= F.col("minors"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
+    cells = F.transform(F.when(one, F.array(F.lit(0))).otherwise(others), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+    e = e.select("key", "id", "component", "block", "shared", F.explode(cells).alias("cell"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows = None, []
+        for b in batches:
+            found: list[tuple[int, int]] = []
+            for key, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, lo, hi) != cell:
+                    if cell is not None:
+                        found += _cell_links(cell[0], cell[1] != cell[2], rows, percent)
+                    cell, rows = (key, lo, hi), []
+                rows.append(tuple(row))
+            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+        if cell is not None:
+            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in _cell_links(cell[0], cell[1] != cell[2], rows, percent)], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    dealt = e.join(sets, "id").select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "id", "component", "block", "shared", "set")
+    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents are linked if 100 * |A & B| >= percent * |A | B| over
     their sets of word shingles (A-Z as a-z; fewer words make one shingle). Texts without words, null ones too, stand alone.
     Rows that repeat a doc_id repeat in the result. Shingles are compared as 64-bit hashes."""
     sk = checkpointed(sketches(docs, words))
     classes = checkpointed(sk.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
-    comp = components(links(docs, classes.select("id", "n", "sketch"), words, percent))
+    entries = checkpointed(_entries(classes))
+    long = checkpointed(long_lists(entries))
+    comp = checkpointed(components(links(docs, classes.select("id", "n", "sketch"), entries, long, words, percent)))
     of = classes.select("sig", "id").join(comp, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
+    if not long.isEmpty():
+        joined = components(checkpointed(rest(docs, entries, long, comp, words, percent)))
+        of = of.join(joined.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left").select("sig", F.coalesce("low", "component").alias("component"))
     out = sk.select("doc_id", "n_shingles", "sig").join(of, "sig", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))

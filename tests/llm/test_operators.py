@@ -82,10 +82,7 @@ def test_buckets_do_not_change_results(docs, monkeypatch):
     assert collect(fingerprints.edited_pairs(docs)) == one
 
 
-@pytest.mark.parametrize("limit", [48, 2])
-def test_near_duplicates(docs, rows, none, monkeypatch, limit):
-    monkeypatch.setattr(neardup, "LIST", limit)
-    sets = {r[0]: shingles(r[1], 4) for r in rows}
+def least_reachable(sets):
     root = {i: i for i in sets}
 
     def find(i):
@@ -98,9 +95,36 @@ def test_near_duplicates(docs, rows, none, monkeypatch, limit):
         if x and y and 100 * len(x & y) >= 80 * len(x | y):
             a, b = find(a), find(b)
             root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("cell", [2048, 20])
+def test_near_duplicates_in_long_lists(spark, monkeypatch, cell):
+    """One family of texts of which most are just under the threshold: every list is long, and few of its pairs are links."""
+    monkeypatch.setattr(neardup, "CELL_ROWS", cell)
+    rng = random.Random(11)
+    family = [[rng.choice(WORDS) for _ in range(100)]]
+    for _ in range(260):
+        w = list(rng.choice(family) if rng.random() < 0.3 else family[0])
+        for k in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(100)] = f"{rng.choice(WORDS)}{rng.randrange(9)}"
+        family.append(w)
+    ids = rng.sample(range(1000), len(family))
+    rows = [(i, " ".join(w)) for i, w in zip(ids, family)]
+    want = least_reachable({i: shingles(t, 4) for i, t in rows})
+    got = collect(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), words=4))
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert len(set(want.values())) > 10
+
+
+@pytest.mark.parametrize("limit", [48, 2])
+def test_near_duplicates(docs, rows, none, monkeypatch, limit):
+    monkeypatch.setattr(neardup, "LIST", limit)
+    sets = {r[0]: shingles(r[1], 4) for r in rows}
+    want = least_reachable(sets)
     got = collect(neardup.near_duplicates(docs, words=4))
-    assert {i: r["component_id"] for i, r in got.items()} == {i: find(i) for i in sets}
-    assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (find(i) == i) for i in sets)
+    assert {i: r["component_id"] for i, r in got.items()} == want
+    assert all(got[i]["n_shingles"] == len(sets[i]) and got[i]["kept"] == (want[i] == i) for i in sets)
     assert neardup.near_duplicates(none).count() == 0
     assert neardup.near_duplicates(docs.unionByName(docs)).count() == 2 * len(rows)
 
