@@ -30,6 +30,8 @@ LIST, NEAR = 48, 6
 SHARED = 4
 #: Classes and shingles of a block of a long list: they bound a task's memory.
 CELL_ROWS, CELL_SHINGLES = 2048, 1 << 20
+#: Ids of 8 bytes, so that at most a few MB are broadcast.
+BROADCAST_IDS = 1 << 18
 #: Lists over this share of all entries are dealt over several tasks; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_PARTS = 1e-4, 64
 _MAX = np.uint64(2**64 - 1)
@@ -161,11 +163,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, set) of the documents with these ids. Up to BROADCAST_IDS of them are sent to the texts; more meet them in a shuffle."""
+    ids = checkpointed(ids)
+    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b.column(1), words)], pa.binary())], ["id", "set"])
 
-    return id_text(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+    return id_text(docs).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
 
 def links(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
