@@ -25,7 +25,7 @@ WORDS, PERCENT = 5, 80
 K, RUNS = 64, 32
 #: A pair goes on if at least so many of the union's lowest 64 values are common; at 0.8 a Binomial(64, 0.8) falls below 34 with a chance under 1e-6.
 ESTIMATE = 34
-LIST, NEAR = 48, 6
+LIST, NEAR = 48, 2
 #: Linked sets share so many lists at least, but for a chance under 1e-6 at 0.8 (if one set holds the other, less else).
 SHARED = 4
 #: Classes and shingles of a block of a long list: they bound a task's memory.
@@ -109,14 +109,15 @@ def _pairs(percent: int):
 
 
 def long_lists(entries: DataFrame) -> DataFrame:
-    """(key, c, p): inverted lists of over LIST entries, their length and their pivot."""
-    return entries.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("id", "n")).alias("p")).filter(F.col("c") > LIST)
+    """(key, c): inverted lists of over LIST entries."""
+    return entries.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > LIST)
 
 
 def candidates(entries: DataFrame, long: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b), a < b: pairs of classes that meet in an inverted list; in a long one, with its pivot or nearby by size."""
     cut = max(4096, int(entries.count() * HOT_SHARE))
-    hot = long.filter(F.col("c") > cut).select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
+    hot = entries.join(F.broadcast(long.filter(F.col("c") > cut).select("key")), "key").groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
+    hot = hot.select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
     dealt = entries.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.floor(F.log(1.25, F.col("n").cast("double"))) * HOT_PARTS + F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).cast("int"))
     dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id").select("key", "salt", "id", "n", "hot", "hot_n")
     return dealt.mapInArrow(_pairs(percent), "a long, b long").distinct()
@@ -189,8 +190,8 @@ def links(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFra
 
 
 def apart(entries: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, id, component, n, m, shared, major, sizes): the entries in which links between components can still be found.
-    Such a link was in no list of up to LIST classes, so that all lists its two classes share are long. It shares SHARED of
+    """(key, id, component, n, shared, major, sizes): the entries in which links between components can still be found, with
+    the lower keys of their class (shared). Such a link was in no list of up to LIST classes, so that all lists its two classes share are long. It shares SHARED of
     them at least, or what a small set must; so classes in fewer are done, and of the others each leaves its longest lists
     out, as many as still leave every link one list (the prefix filter)."""
     e = entries.join(long.select("key"), "key").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -202,6 +203,7 @@ def apart(entries: DataFrame, long: DataFrame, comp: DataFrame, percent: int = P
     mine = Window.partitionBy("id")
     e = e.join(lists, "key").withColumn("rank", F.row_number().over(mine.orderBy(F.desc("m"), "key"))).withColumn("lists", F.count("*").over(mine))
     e = e.filter((F.col("lists") >= need) & (F.col("rank") >= need)).withColumn("shared", F.collect_list("key").over(mine))
+    e = e.withColumn("shared", F.filter("shared", lambda k: k < F.col("key")))
     return e.select("key", "id", "component", "n", "shared", "major", "sizes")
 
 
@@ -216,7 +218,7 @@ def _bits(rows: np.ndarray, values: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def _cell_links(key: int, split: bool, rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
+def _cell_links(split: bool, rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
     """Links between different components within one cell, as pairs of components; none that follows from those before.
     rows: (id, component, block, shared, set). A pair is compared in the least of the lists that it shares."""
     m = len(rows)
@@ -228,7 +230,7 @@ def _cell_links(key: int, split: bool, rows: list[tuple], percent: int) -> Itera
     n = np.array([len(s) for s in sets])
     low = np.minimum(n, K)
     sketch = _bits(np.repeat(np.arange(m), low), np.concatenate([s[:K] for s in sets]), m)
-    before = [np.array([k for k in r[3] if k < key], np.int64) for r in rows]
+    before = [np.array(r[3], np.int64) for r in rows]
     earlier = _bits(np.repeat(np.arange(m), [len(b) for b in before]), np.concatenate(before), m)
     flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     start = np.concatenate([[0], np.cumsum(n)])
@@ -273,12 +275,12 @@ def rest(docs: DataFrame, entries: DataFrame, long: DataFrame, comp: DataFrame,
             for key, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, lo, hi) != cell:
                     if cell is not None:
-                        found += _cell_links(cell[0], cell[1] != cell[2], rows, percent)
+                        found += _cell_links(cell[1] != cell[2], rows, percent)
                     cell, rows = (key, lo, hi), []
                 rows.append(tuple(row))
             yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
         if cell is not None:
-            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in _cell_links(cell[0], cell[1] != cell[2], rows, percent)], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in _cell_links(cell[1] != cell[2], rows, percent)], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
     dealt = e.join(sets, "id").select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "id", "component", "block", "shared", "set")
     return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
