@@ -5,14 +5,15 @@ the last token of every prefix follows from the last tokens of shorter prefixes.
 whose state is the longest suffix read that begins a token, and whose output is the tokens that end there; its states
 and moves are built when first needed. Of the tokens that end at a byte, the one that fits the token before it is the
 last of that prefix. Any later token starts within the state's suffix, so that what all ways back from there share is
-settled: that is emitted, and no more than a few times the longest token is ever held.
+settled: that is emitted, and no more than a few times the longest token is ever held. Pieces up to that size are read
+many at a time, a byte of each per step, through the same automaton as one table.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import struct
+import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,16 +25,18 @@ from pyspark.sql import DataFrame
 from gridloom.llm.common import id_text
 
 #: Table sizes; a full one is emptied, which costs time and changes no result.
-MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 200_000, 400_000, 100_000
+MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 32_768, 400_000, 200_000
 #: Bytes held before settled tokens are looked for.
 HOLD = 512
-_PACK = struct.pack
 #: The characters of White_Space, which \s names in the splitting pattern.
 SPACES = r"\t-\r \x85\xa0  -     　"
-#: Texts are cut before white space; what the pattern finds never depends on what follows such a segment.
-SEGMENTS = regex.compile(rf"[{SPACES}]*[^{SPACES}]+|[{SPACES}]+")
+#: Texts are cut before one newline or space that something else than white space follows: the pattern always ends a
+#: match there, and what it finds on either side does not depend on the other.
+LINE_CUT, ODD_SPACE, SPACE_CUT = re.compile(rf"\n(?=[^{SPACES}])"), re.compile(rf" (?:[{SPACES}]|\Z)"), re.compile(rf" (?=[^{SPACES}])")
 #: A segment over so many characters is encoded but not remembered.
 LONG_SEGMENT = 64
+#: Texts are encoded together up to about so many characters, and pieces up to about so many bytes.
+GROUP_CHARS, GROUP_BYTES = 1 << 20, 1 << 18
 
 
 class Transducer:
@@ -44,13 +47,23 @@ class Transducer:
         self.starts = {t[:k] for t in ranks for k in range(1, len(t) + 1)}
         self.halves: dict[int, tuple[int, int]] = {}
         self.pairs: dict[int, bool] = {}
+        self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
+        self.sizes[list(self.lengths)] = list(self.lengths.values())
+        self._forget()
         self.reset()
 
+    def _forget(self) -> None:
+        """The pairs as sorted arrays, empty."""
+        self.keys, self.oks = np.zeros(0, np.int64), np.zeros(0, bool)
+
     def reset(self) -> None:
         self.ids: dict[bytes, int] = {b"": 0}
         self.suffixes: list[bytes] = [b""]
         self.moves: list[dict[int, int]] = [{}]
         self.ends: list[tuple[tuple[int, int], ...]] = [()]
+        # The same as arrays: moves by state and byte, where a state's ends begin, and all ends one after another.
+        self.table, self.at = np.full((1024, 256), -1, np.int32), np.zeros(1024, np.int64)
+        self.end_tokens: list[int] = []
 
     def _build(self, state: int, byte: int) -> int:
         tail = self.suffixes[state] + bytes([byte])
@@ -61,7 +74,11 @@ class Transducer:
             self.suffixes.append(tail)
             self.moves.append({})
             self.ends.append(tuple((self.ranks[tail[j:]], len(tail) - j) for j in range(len(tail)) if tail[j:] in self.ranks))
-        self.moves[state][byte] = s
+            if s == len(self.at):
+                self.table, self.at = np.vstack([self.table, np.full_like(self.table, -1)]), np.concatenate([self.at, self.at])
+            self.at[s] = len(self.end_tokens)
+            self.end_tokens += [t for t, _ in self.ends[s]]
+        self.moves[state][byte] = self.table[state, byte] = s
         return s
 
     def merged(self, data: bytes, below: int = 1 << 60) -> list[bytes]:
@@ -104,6 +121,85 @@ class Transducer:
             self.pairs[key] = ok
         return ok
 
+    def fit(self, keys: np.ndarray) -> np.ndarray:
+        """fits() of many pairs."""
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        if not known.all():
+            new = np.unique(keys[~known])
+            if len(self.keys) > MAX_PAIRS:
+                self._forget()
+                new = np.unique(keys)
+            oks = np.array([self.fits(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
+            where = np.searchsorted(self.keys, new)
+            self.keys, self.oks = np.insert(self.keys, where, new), np.insert(self.oks, where, oks)
+            place = np.searchsorted(self.keys, keys)
+        return self.oks[place]
+
+    def encode_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of each piece, as little-endian unsigned 32-bit integers. None is empty."""
+        out: dict[bytes, bytes] = {}
+        short = []
+        for p in pieces:
+            if len(p) > self.hold:
+                out[p] = np.array(self.encode(p), "<u4").tobytes()
+            else:
+                short.append(p)
+        short.sort(key=len, reverse=True)
+        i = 0
+        while i < len(short):
+            j, size = i, 0
+            while j < len(short) and size < GROUP_BYTES:
+                size += len(short[j])
+                j += 1
+            self._encode_block(short[i:j], out)
+            i = j
+        return out
+
+    def _encode_block(self, pieces: list[bytes], out: dict[bytes, bytes]) -> None:
+        """Pieces by falling length, so that those that have a k-th byte come first."""
+        if len(self.suffixes) > self.max_states:
+            self.reset()
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.cumsum(lens) - lens
+        states, last = np.zeros(len(pieces), np.int64), np.zeros(len(data), np.int64)
+        ends = np.array(self.end_tokens, np.int64)
+        for k in range(int(lens[0])):
+            m = int(np.searchsorted(-lens, -k))
+            at, now = starts[:m] + k, states[:m]
+            byte = data[at]
+            to = self.table[now, byte].astype(np.int64)
+            if len(lack := np.flatnonzero(to < 0)):
+                for key in np.unique(now[lack] << 8 | byte[lack]).tolist():
+                    self._build(key >> 8, key & 255)
+                to[lack] = self.table[now[lack], byte[lack]]
+            states[:m] = to
+            if len(ends) < len(self.end_tokens):
+                ends = np.concatenate([ends, np.array(self.end_tokens[len(ends) :], np.int64)])
+            first, left = self.at[to], np.arange(m)
+            while len(left):
+                t = ends[first[left]]
+                before = k - self.sizes[t]
+                ok = before < 0
+                if len(inner := np.flatnonzero(~ok)):
+                    ok[inner] = self.fit(last[starts[left[inner]] + before[inner]] << 32 | t[inner])
+                last[at[left[ok]]] = t[ok]
+                left = left[~ok]
+                first[left] += 1
+        used, j, rows = np.zeros(len(data), bool), lens.copy(), np.arange(len(pieces))
+        while len(rows):
+            p = starts[rows] + j[rows] - 1
+            used[p] = True
+            j[rows] -= self.sizes[last[p]]
+            rows = rows[j[rows] > 0]
+        ids, to = last[used].astype("<u4").tobytes(), (4 * np.cumsum(np.add.reduceat(used, starts, dtype=np.int64))).tolist()
+        a = 0
+        for p, b in zip(pieces, to):
+            out[p] = ids[a:b]
+            a = b
+
     def encode(self, piece: bytes) -> list[int]:
         if len(piece) > self.hold:
             return [t for part in self.stream(piece) for t in part]
@@ -203,23 +299,57 @@ class Codec:
             table[i] = t
         self.table = table
 
-    def _segment(self, segment: str) -> bytes:
-        if (out := self.older.get(segment)) is None:
-            ids: list[int] = []
-            for piece in self.pattern.findall(segment):
-                ids += self.fst.encode(piece.encode())
-            out = _PACK(f"<{len(ids)}I", *ids)
-        if len(segment) <= LONG_SEGMENT:
-            if len(self.known) >= self.max_segments:
-                # Segments that are met again move over from the older half.
-                self.known, self.older = {}, self.known
-            self.known[segment] = out
+    @staticmethod
+    def segments(text: str) -> list[str]:
+        """The text without the cut space before each segment; a cut newline stays in front. The first one, which may be empty, has none."""
+        out: list[str] = []
+        for k, line in enumerate(LINE_CUT.split(text)):
+            line = "\n" + line if k else line
+            out += SPACE_CUT.split(line) if ODD_SPACE.search(line) else line.split(" ")
         return out
 
+    def _found(self, wanted: set[str]) -> dict[str, bytes]:
+        """Ids of segments as in segments(), after the first."""
+        if len(self.known) >= self.max_segments:
+            # Segments that are met again move over from the older half.
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = wanted - known.keys()
+        again = new & older.keys()
+        known.update((s, older[s]) for s in again)
+        new -= again
+        out = {s: known[s] for s in wanted - new}
+        pieces = {s: self._pieces(s if s[0] == "\n" else " " + s) for s in new}
+        ids = self.fst.encode_many(list({p for found in pieces.values() for p in found}))
+        for s, found in pieces.items():
+            out[s] = joined = b"".join([ids[p] for p in found])
+            if len(s) <= LONG_SEGMENT:
+                known[s] = joined
+        return out
+
+    def _pieces(self, segment: str) -> list[bytes]:
+        if segment.isascii() and segment[1:].isalpha() and segment[0] == " ":
+            return [segment.encode()]
+        return [p.encode() for p in self.pattern.findall(segment)]
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        i = 0
+        while i < len(texts):
+            j, size = i, 0
+            while j < len(texts) and size < GROUP_CHARS:
+                size += len(texts[j])
+                j += 1
+            cut = [self.segments(t) for t in texts[i:j]]
+            firsts = [self._pieces(c[0]) if c[0] else [] for c in cut]
+            first = self.fst.encode_many(list({p for f in firsts for p in f}))
+            found = self._found({s for c in cut for s in c[1:]}).__getitem__
+            for f, c in zip(firsts, cut):
+                yield b"".join([first[p] for p in f] + list(map(found, c[1:])))
+            i = j
+
     def encode(self, text: str) -> bytes:
-        """The ids, as little-endian unsigned 32-bit integers."""
-        known, segment = self.known.get, self._segment
-        return b"".join([known(s) or segment(s) for s in SEGMENTS.findall(text)])
+        return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text as it becomes certain; bytes that are not UTF-8 come as U+FFFD."""
@@ -251,7 +381,7 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c.encode(t) for t in part.column(1).to_pylist()], pa.binary())], ["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(c.encode_all(part.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
 
@@ -275,8 +405,7 @@ def round_trip_digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") ->
         c = codec(*vocabulary(name))
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = c.encode(t)
+            for ids in c.encode_all(b.column(1).to_pylist()):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 digest = hashlib.sha256()
