@@ -40,6 +40,12 @@ def crc_mod(doc_id: str, m: int):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % m
 
 
+def lowest(rows: int, n: int, *hashed):
+    """Whether a row is among about `rows` of n, those whose hash is lowest. The share is of 10**15, so that it is not rounded to nothing for any n in use."""
+    parts = 10**15
+    return F.pmod(F.xxhash64(*hashed), F.lit(parts)) < (parts if rows >= n else rows * parts // n)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared checkpoint folder; a folder of this process only where the session names none."""
     sc = df.sparkSession.sparkContext

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_mod, id_text
+from gridloom.llm.common import crc_mod, id_text, lowest
 
 BUCKETS = 1 << 14
 #: Rows that the model is fitted on, about; rows with the lowest hashes of doc_id are taken.
@@ -43,7 +43,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, train=None) -> tuple[list[str
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if train is None else rows.filter(train)
     n = rows.select("doc_id").count()
-    rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, fit_rows / max(n, 1)) * 1_000_000))
+    rows = rows.filter(lowest(fit_rows, n, "doc_id"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks, crc_mod, id_text, text_buffers, word_hashes
+from gridloom.llm.common import blocks, crc_mod, id_text, lowest, text_buffers, word_hashes
 
 #: Rows the model is fitted on, about: positives, and unlabelled ones.
 FIT_POSITIVES, FIT_UNLABELLED = 5000, 10000
@@ -75,8 +75,7 @@ def with_features(docs: DataFrame) -> DataFrame:
 
 def _some(df: DataFrame, rows: int) -> DataFrame:
     """About `rows` rows: those whose doc_id hashes lowest."""
-    n = df.count()
-    return df.filter(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(min(1.0, rows / max(n, 1)) * 1_000_000))
+    return df.filter(lowest(rows, df.count(), "doc_id", F.lit(5)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train=None) -> dict | None:

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.llm import bpe, fingerprints, graph, langid, licenses, lines, neardup, packing, pii, quality, rules
+from gridloom.llm.common import lowest
 
 WORDS = "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 
@@ -305,3 +306,11 @@ def test_pipeline(spark):
         if k < 4:
             assert docs.columns == corpus_pipeline.COLUMNS
     assert docs.count() > 50
+
+
+def test_samples_of_large_tables(spark):
+    ids = spark.range(2000).withColumnRenamed("id", "doc_id")
+    assert ids.filter(lowest(100, 100, "doc_id")).count() == 2000 and ids.filter(lowest(100, 0, "doc_id")).count() == 2000
+    assert 150 < ids.filter(lowest(200, 2000, "doc_id")).count() < 250
+    share = lowest(5000, 10**12, "doc_id")
+    assert "5000000" in str(share)
