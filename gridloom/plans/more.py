@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from gridloom.functions import formats as N
 from gridloom.functions import scalars as S
 from gridloom.operators import grid as G
 from gridloom.plans.catalog import query, t
@@ -121,3 +122,25 @@ def o1_natural_order(spark, d):
 @query("SELECT conv_id, min(turn) AS first_user_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
 def o7_first_titles(spark, d):
     return t(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_user_turn"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN format('(${:,.2f})', -c_acctbal) ELSE format('${:,.2f} ', c_acctbal) END AS shown, CASE WHEN c_acctbal < 0 THEN 'red' END AS colour FROM customer")
+def n3_format_sections(spark, d):
+    code = "$#,##0.00_);[Red]($#,##0.00)"
+    return t(spark, d, "customer").select("c_custkey", N.format_value(F.col("c_acctbal"), code).alias("shown"), N.format_colour(F.col("c_acctbal"), code).alias("colour"))
+
+
+@query("SELECT l_orderkey, l_linenumber, format('{:,.2f}', l_extendedprice) AS price, format('{:.0f}%', l_discount * 100) AS discount, format('{:.1f}K', l_extendedprice / 1000) AS thousands FROM lineitem")
+def n5_fixed_formats(spark, d):
+    return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", N.format_value(F.col("l_extendedprice"), "#,##0.00").alias("price"), N.format_value(F.col("l_discount"), "0%").alias("discount"), N.format_value(F.col("l_extendedprice"), '0.0,"K"').alias("thousands"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN (p_size // 4)::VARCHAR WHEN p_size < 4 THEN (CASE p_size % 4 WHEN 1 THEN '1/4' WHEN 2 THEN '1/2' ELSE '3/4' END) ELSE (p_size // 4)::VARCHAR || ' ' || (CASE p_size % 4 WHEN 1 THEN '1/4' WHEN 2 THEN '1/2' ELSE '3/4' END) END AS quarters FROM part")
+def n6_fractions(spark, d):
+    return t(spark, d, "part").select("p_partkey", N.format_value(F.col("p_size") / 4, "# ?/?").alias("quarters"))
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%-d %b %Y %H:%M') AS shown, strftime(o_orderdate, '%a %y-%m') AS short FROM orders")
+def n7_date_formats(spark, d):
+    serial = S.serial_of(F.col("o_orderdate"))
+    return t(spark, d, "orders").select("o_orderkey", N.format_value(serial, "d mmm yyyy hh:mm").alias("shown"), N.format_value(serial, "ddd yy-mm").alias("short"))

@@ -78,3 +78,22 @@ def test_catalogue_columns(spark):
             rel = c.sql(sql[name])
             assert sorted(df.columns) == sorted(rel.columns), name
             assert df.count() == len(rel.fetchall()), name
+
+
+FORMATS = [
+    (1, "yyyy-mm-dd", "1900-01-01"), (59, "yyyy-mm-dd", "1900-02-28"), (60, "yyyy-mm-dd", "1900-02-29"), (61, "yyyy-mm-dd", "1900-03-01"), (45000, "yyyy-mm-dd", "2023-03-15"),
+    (61, "ddd", "Thu"), (0.5, "hh:mm:ss", "12:00:00"), (0.25, "hh:mm", "06:00"), (1.5, "[h]:mm", "36:00"), (0.75, "h:mm AM/PM", "6:00 PM"), (42, "General", "42"), (0.1, "General", "0.1"),
+    (1234567, "#,##0", "1,234,567"), (3.14159, "0.00", "3.14"), (0.125, "0.00", "0.13"), (2.5, "0", "3"), (0.25, "0%", "25%"), (12.5, '"$"#,##0.00', "$12.50"), (-5, "0;[Red]-0", "-5"), (-5, "0;(0)", "(5)"), (-5, "0.0", "-5.0"),
+    (0, "#", ""), (7, "000", "007"), (12345, "0.00E+00", "1.23E+04"), (0.00012, "0.0E-0", "1.2E-4"), (1.5, "# ?/?", "1 1/2"), (0.5, "?/8", "4/8"), (-3.5, "$#,##0.00_);[Red]($#,##0.00)", "($3.50)"), (3.5, "$#,##0.00_);[Red]($#,##0.00)", "$3.50 "),
+    (5, '[>=10]"big";"small"', "small"), (12, '[>=10]"big";"small"', "big"), (1500000, '0.0,,"M"', "1.5M"), (1.5e15 + 0.5, "General", "1.5E+15"), (1e-5, "General", "1E-5"),
+]
+
+
+def test_number_formats(spark):
+    from gridloom.functions import formats as N
+
+    one = spark.range(1)
+    got = one.select(*(N.format_value(F.lit(float(v)), code).alias(f"c{k}") for k, (v, code, _) in enumerate(FORMATS))).first()
+    assert [(*FORMATS[k][:2], x) for k, x in enumerate(got)] == FORMATS
+    row = one.select(N.format_text(F.lit("note"), "0;0;0;@"), N.format_text(F.lit("note"), '0;0;0;"<"@">"'), N.format_value(F.lit(None).cast("double"), "0"), N.format_colour(F.lit(-5.0), "0;[Red]-0"), N.format_value(F.lit(1.0), "yyyy-mm-dd", date1904=True)).first()
+    assert list(row) == ["note", "<note>", "", "red", "1904-01-02"]
