@@ -1,8 +1,8 @@
 """Operator 10: best-fit packing of tokenised documents, improved by swaps between underfull bins.
 
 Documents are tokenised where they lie. Only (doc_id, piece, length) is dealt into shards of bounded size, each packed by
-itself: best fit, longest first; then local search: an item moves, two items change places, or one item is exchanged for
-two, between a poorly filled bin and a fuller one, whenever the sum of squared fills grows, until poor bins are empty.
+itself: best fit, longest first; then local search over all underfull bins: an item moves, two items change places, or one
+item is exchanged for two, whenever the sum of squared fills grows, until no such change is left.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
 SHARD_PIECES = 32_768
 MAX_CHUNKS = 100_000
-#: Fuller bins tried as partners of each of so many poorly filled ones, and passes over them.
-PARTNERS, POOR, PASSES = 24, 400, 3
 _CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 
 
@@ -147,53 +145,112 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return improve(bins, lengths, capacity)
 
 
+class _Offers:
+    """What the underfull bins can give, by length: for each length of an item (or sum of a pair) of a bin, the bins that have it, emptiest first.
+
+    A bin of distinct lengths holds at most about 90 of them, so its pairs have at most some 4,000 sums."""
+
+    def __init__(self, bins: int, capacity: int):
+        self.n = bins
+        self.by: list[list[int]] = [[] for _ in range(capacity + 1)]  # sorted fill * n + bin
+        self.none = 1 << 40
+        self.least, self.second = np.full(capacity + 1, self.none), np.full(capacity + 1, self.none)
+        self.owner = np.full(capacity + 1, -1)
+
+    def put(self, b: int, fill: int, sums: set[int], add: bool) -> None:
+        key, n = fill * self.n + b, self.n
+        for v in sums:
+            own = self.by[v]
+            if add:
+                insort(own, key)
+            else:
+                own.pop(bisect_left(own, key))
+            if not own:
+                self.least[v], self.owner[v], self.second[v] = self.none, -1, self.none
+            else:
+                self.least[v], self.owner[v] = divmod(own[0], n)
+                self.second[v] = own[1] // n if len(own) > 1 else self.none
+
+    def best(self, b: int, fill: int, back: int, gain: int, room: int) -> tuple[int, int]:
+        """(gain, bin) of the largest gain of more than `gain` and at most `room` for b, which gives `back` in return."""
+        at = slice(back + gain + 1, back + room + 1)
+        owner = self.owner[at]
+        low = np.where(owner == b, self.second[at], self.least[at])
+        ok = (low < np.arange(fill + gain + 1, fill + gain + 1 + len(low))).nonzero()[0]
+        if not len(ok):
+            return 0, -1
+        own = self.by[back + gain + 1 + int(ok[-1])]
+        a = own[0] % self.n
+        return gain + 1 + int(ok[-1]), own[1] % self.n if a == b else a
+
+
 def improve(bins: list[list[int]], lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
+    """Between any two underfull bins an item moves, two change places, or one is exchanged for two, whichever fills the receiving
+    bin most, as long as the sum of squared fills grows; until no such change is left or no fewer bins are possible."""
     fill = [sum(lengths[i] for i in b) for b in bins]
-    least = -(-sum(fill) // capacity)
-    for _ in range(PASSES):
-        if sum(map(bool, bins)) <= least:
-            break
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
+    least, left = -(-sum(fill) // capacity), sum(map(bool, bins))
+    if left <= least:
+        return [b for b in bins if b]
+    one, two = _Offers(len(bins), capacity), _Offers(len(bins), capacity)
+    singles: list[set[int]] = [set()] * len(bins)
+    pairs: list[set[int]] = [set()] * len(bins)
+
+    def index(k: int, add: bool) -> None:
+        if 0 < fill[k] < capacity:
+            if add:
+                n = sorted(lengths[i] for i in bins[k])
+                singles[k] = set(n)
+                pairs[k] = {x + y for x in singles[k] for y in singles[k] if x < y} | {2 * x for x, y in zip(n, n[1:]) if x == y}
+            one.put(k, fill[k], singles[k], add)
+            two.put(k, fill[k], pairs[k], add)
+
+    for k in range(len(bins)):
+        index(k, True)
+    changed = True
+    while changed and left > least:
         changed = False
-        for k, a in enumerate(under[:POOR]):
-            for b in reversed(under[max(k + 1, len(under) - PARTNERS) :]):
-                while bins[a] and fill[b] < capacity and _step(bins, fill, lengths, capacity, a, b):
-                    changed = True
-                if not bins[a]:
-                    break
-        if not changed:
-            break
+        for b in sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (-fill[k], k)):
+            while 0 < fill[b] < capacity and left > least and (change := _change(b, fill[b], capacity - fill[b], one, two, singles[b], pairs[b])):
+                gain, a, give, n_give, take, n_take = change
+                index(a, False)
+                index(b, False)
+                go, come = _items(bins[a], lengths, give, n_give), _items(bins[b], lengths, take, n_take)
+                bins[a] = [i for i in bins[a] if i not in go] + come
+                bins[b] = [i for i in bins[b] if i not in come] + go
+                fill[a] -= gain
+                fill[b] += gain
+                index(a, True)
+                index(b, True)
+                left -= not bins[a]
+                changed = True
     return [b for b in bins if b]
 
 
-def _step(bins: list[list[int]], fill: list[int], lengths: list[int], capacity: int, a: int, b: int) -> bool:
-    """One change that fills the fuller of two bins further, so that the squares of the fills sum to more."""
-    if fill[a] > fill[b]:
-        a, b = b, a
-    room = capacity - fill[b]
-    best: tuple[int, list[int], list[int]] = (0, [], [])
-    for x in bins[a]:
-        if best[0] < lengths[x] <= room:
-            best = lengths[x], [x], []
-    if best[0] < room:
-        for x in bins[a]:
-            for y in bins[b]:
-                if best[0] < lengths[x] - lengths[y] <= room:
-                    best = lengths[x] - lengths[y], [x], [y]
-    if best[0] < room and len(bins[a]) <= 40 and len(bins[b]) <= 40:
-        for k, x in enumerate(bins[a]):
-            for z in bins[a][k + 1 :]:
-                for y in bins[b]:
-                    if best[0] < lengths[x] + lengths[z] - lengths[y] <= room:
-                        best = lengths[x] + lengths[z] - lengths[y], [x, z], [y]
-    gain, go, come = best
-    if not gain:
-        return False
-    bins[a] = [i for i in bins[a] if i not in go] + come
-    bins[b] = [i for i in bins[b] if i not in come] + go
-    fill[a] -= gain
-    fill[b] += gain
-    return True
+def _change(b: int, fill: int, room: int, one: _Offers, two: _Offers, singles: set[int], pairs: set[int]) -> tuple[int, int, int, int, int, int] | None:
+    """The change that fills b most: (gain, other bin, what that gives, in how many items, what b gives back, in how many)."""
+    best = 0, -1, 0, 0, 0, 0
+    for offers, n_give, backs, n_back in ((one, 1, (0,), 0), (one, 1, singles, 1), (two, 2, singles, 1), (one, 1, pairs, 2)):
+        for y in backs:
+            if best[0] == room:
+                return best
+            gain, a = offers.best(b, fill, y, best[0], room)
+            if gain:
+                best = gain, a, y + gain, n_give, y, n_back
+    return best if best[0] else None
+
+
+def _items(items: list[int], lengths: list[int], total: int, count: int) -> list[int]:
+    """`count` of the items, up to two, that make `total` together."""
+    if count == 0:
+        return []
+    if count == 1:
+        return [next(i for i in items if lengths[i] == total)]
+    seen: dict[int, int] = {}
+    for i in items:
+        if (other := seen.get(total - lengths[i])) is not None:
+            return [other, i]
+        seen[lengths[i]] = i
+    raise AssertionError("no such pair")
 
 
 def packed(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
