@@ -26,8 +26,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop lines found in at least ten documents; a document left without any text stays, empty."""
-    return _with_text(docs, lines.deduplicated(docs))
+    """Of lines found in at least ten documents keep the first, by document and position; a document left without any text stays, empty."""
+    return _with_text(docs, lines.deduplicated(docs, keep_first=True))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,15 @@ def test_packing_searches_all_underfull_bins():
         assert sorted(itertools.chain(*bins)) == list(range(60))
         if len(bins) > -(-sum(lengths) // 100):
             assert not next(_gains(bins, lengths, 100), None)
+
+
+def test_pipeline_keeps_one_of_many_copies(spark):
+    import corpus_pipeline
+
+    same = "alpha beta\nGamma delta\n  ALPHA beta\nepsilon"
+    rows = [(i, same if i % 3 else f"own {i}\nshared line", "en", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.line_stage(spark, docs, "").collect()}
+    assert len(out) == 60 and out[1] == "alpha beta\nGamma delta\nepsilon"  # lost in all copies before
+    assert all(out[i] == "" for i in range(60) if i % 3 and i > 1)
+    assert out[0] == "own 0\nshared line" and all(out[i] == f"own {i}" for i in range(3, 60, 3))
