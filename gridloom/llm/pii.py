@@ -2,7 +2,7 @@
 
 Entities of each type get a replacement drawn with a secret key: equal entities get equal ones wherever they stand, and
 different ones different ones. Numbers go through a keyed permutation of their digits (a Feistel network), which keeps
-the format and cannot collide; names keep gender, script and case; secrets keep their length and character classes.
+the format and cannot collide, and so do the bits of addresses; names keep gender, script and case; secrets keep their length and character classes.
 Replacements that meet one another or an entity of the corpus are found by joins and drawn anew.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,8 @@ from gridloom.llm.common import checkpointed, id_text
 KEY = b"gridloom-surrogates-v1"
 #: Redrawn entities are broadcast to the rewriting pass up to so many; beyond, texts are joined to their own entities.
 MAX_BROADCAST = 100_000
-ROUNDS = 6
+#: Fixed formats have no replacement left once their entities fill half of the format's space; that many redraws tell it.
+HOPELESS = 500
 
 #: Patterns by type, tried in this order at each place. The group `v` is what is replaced, or all of it.
 PATTERNS: list[tuple[str, str]] = [
@@ -76,7 +78,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
 
 
 def canonical(kind: str, value: str) -> str:
-    return value.lower() if kind == "email" else re.sub(r"[ \-]", "", value) if kind in ("card", "iban") else re.sub(r"[^\d+]", "", value) if kind == "phone" else value
+    return value.lower() if kind == "email" else re.sub(r"[ \-]", "", value) if kind in ("card", "iban") else re.sub(r"[^\d+]", "", value) if kind == "phone" else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else value
 
 
 def _prf(key: bytes, *parts: object) -> int:
@@ -95,6 +97,15 @@ def permuted(digits: str, key: bytes, tweak: str) -> str:
     return a + b
 
 
+def _permuted_bits(x: int, bits: int, key: bytes, tweak: str) -> int:
+    """A keyed permutation of the numbers of so many bits (even)."""
+    half = bits // 2
+    a, b = x >> half, x & (1 << half) - 1
+    for r in range(8):
+        a, b = b, a ^ _prf(key, tweak, "bits", r, b) & (1 << half) - 1
+    return a << half | b
+
+
 def _charwise(value: str, key: bytes, tweak: str) -> str:
     out, stream = [], _prf(key, tweak, value)
     for k, c in enumerate(value):
@@ -124,8 +135,14 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             local = value.split("@")[0]
             out = f"{_charwise(re.sub('[^a-z0-9]', '', local)[:6] or 'x', key, tweak + value)}{_prf(key, tweak, value) % 36**9:x}@example.org"
         elif kind == "ip":
-            x = _prf(key, tweak, value) % 2**24
-            out = f"10.{x >> 16}.{x >> 8 & 255}.{x & 255}" if value.split(".")[0] == "10" else f"{198 + (x >> 23)}.{x >> 16 & 127}.{x >> 8 & 255}.{x & 255}"
+            x = int.from_bytes(bytes(map(int, value.split("."))), "big")
+            if x >> 24 == 10 and attempt < 4:
+                x = 10 << 24 | _permuted_bits(x & 0xFFFFFF, 24, key, tweak)
+            else:
+                x = _permuted_bits(x, 32, key, tweak)
+                while x >> 24 == 10:
+                    x = _permuted_bits(x, 32, key, tweak)
+            out = ".".join(map(str, x.to_bytes(4, "big")))
         elif kind == "card":
             body = value[0] + permuted(value[1:-1], key, tweak)
             out = body + (_luhn(body) if _luhn(value[:-1]) == value[-1] else str((int(value[-1]) + 1) % 10))
@@ -143,7 +160,7 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             words = []
             for k, w in enumerate(value.split(" ")):
                 x, s = _prf(key, tweak, k, w), ""
-                for _ in range(4):
+                for _ in range(4 + attempt):
                     x, r = divmod(x, 16)
                     s += SYLLABLES[script][r]
                 words.append((s + (ENDS[script, kind] if k == 0 else "")).capitalize())
@@ -186,11 +203,12 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, new string")
 
 
-def redrawn(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, value, attempt) of the distinct entities whose first replacement met another entity or replacement."""
+def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
+    """(kind, value, attempt) of the distinct entities whose first replacement met another entity or replacement. Drawn until
+    none does: each attempt lengthens names, so that it ends; a fixed format whose space is full is an error."""
     values = found.select("kind", "value").distinct()
     drawn = checkpointed(_drawn(values.withColumn("attempt", F.lit(0)), key))
-    for r in range(1, rounds + 1):
+    for r in itertools.count(1):
         # Who keeps a replacement that several drew: the least value. Nobody keeps one that is an entity of the corpus.
         first = drawn.groupBy("kind", "new").agg(F.min("value").alias("owner"), F.count("*").alias("c")).filter("c > 1").select("kind", "new", "owner")
         clash = drawn.join(first, ["kind", "new"]).filter(F.col("value") != F.col("owner")).select("kind", "value")
@@ -198,6 +216,8 @@ def redrawn(found: DataFrame, key: bytes = KEY, rounds: int = ROUNDS) -> DataFra
         bad = checkpointed(clash.unionByName(real).distinct())
         if bad.isEmpty():
             break
+        if r > HOPELESS:
+            raise ValueError(f"no distinct replacements left for {sorted(x['kind'] for x in bad.select('kind').distinct().collect())}")
         again = _drawn(bad.withColumn("attempt", F.lit(r)), key)
         drawn = checkpointed(drawn.join(bad, ["kind", "value"], "left_anti").unionByName(again))
     return drawn.filter("attempt > 0").select("kind", "value", "attempt")

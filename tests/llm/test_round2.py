@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from gridloom.llm import packing
+from gridloom.llm import packing, pii
 
 
 def _gains(bins, lengths, capacity):
@@ -44,3 +44,23 @@ def test_pipeline_keeps_one_of_many_copies(spark):
     assert len(out) == 60 and out[1] == "alpha beta\nGamma delta\nepsilon"  # lost in all copies before
     assert all(out[i] == "" for i in range(60) if i % 3 and i > 1)
     assert out[0] == "own 0\nshared line" and all(out[i] == f"own {i}" for i in range(3, 60, 3))
+
+
+def test_pii_draws_until_none_collides(spark, monkeypatch):
+    # Names of so few syllables that six redraws left most of them colliding.
+    monkeypatch.setitem(pii.SYLLABLES, "latin", ["ma", "re"] + ["lo"] * 14)
+    schema = "kind string, value string, attempt int, new string"
+    monkeypatch.setattr(pii, "_drawn", lambda rows, key: spark.createDataFrame([(*r, pii.surrogate(*r, key)) for r in rows.select("kind", "value", "attempt").collect()], schema))
+    rng = random.Random(2)
+    names = sorted({"".join(rng.choice("abcdefghij") for _ in range(6)).capitalize() for _ in range(3000)})
+    found = spark.createDataFrame([("name_f", n) for n in names], "kind string, value string")
+    tries = {(r["kind"], r["value"]): r["attempt"] for r in pii.redrawn(found).collect()}
+    new = {pii.surrogate("name_f", n, tries.get(("name_f", n), 0)) for n in names}
+    assert len(new) == len(names) and not new & set(names)
+
+
+def test_pii_addresses_are_permuted():
+    ips = {f"{a}.{b}.{c}.{d}" for a in (9, 10, 198) for b in range(7) for c in range(40) for d in range(40)}
+    new = {pii.surrogate("ip", x) for x in ips}
+    assert len(new) == len(ips) and all(x.count(".") == 3 and max(map(int, x.split("."))) < 256 for x in new)
+    assert sum(x.startswith("10.") for x in new) == len(ips) // 3
