@@ -1,7 +1,8 @@
 """Operator 8: personal data replaced by keyed surrogates.
 
 Entities of each type get a replacement drawn with a secret key: equal entities get equal ones wherever they stand, and
-different ones different ones. Numbers go through a keyed permutation of their digits (a Feistel network), which keeps
+different ones different ones. A person is named by a title; from there, every mention of the name's words in that text is
+replaced, each word by itself, so that full names and surnames agree. Numbers go through a keyed permutation of their digits (a Feistel network), which keeps
 the format and cannot collide, and so do the bits of addresses; names keep gender, script and case; secrets keep their length and character classes.
 Replacements that meet one another or an entity of the corpus are found by joins and drawn anew.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import itertools
 import re
 from collections.abc import Iterator
@@ -26,6 +28,20 @@ MAX_BROADCAST = 100_000
 #: Fixed formats have no replacement left once their entities fill half of the format's space; that many redraws tell it.
 HOPELESS = 500
 
+#: Letters that names may start with: capitals of any script that has them, and all letters of Hebrew and Arabic.
+_CAPITAL = "".join(c for c in map(chr, range(0x2000)) if c.isupper())
+_CASELESS = "\u05d0-\u05ea\u0620-\u064a\u0671-\u06d3"
+_WORD = rf"[{_CAPITAL}](?:[^\W\d_]+|(?=['’]))(?:['’\-][{_CAPITAL}][^\W\d_]+)*"
+#: A name: initials, up to three words, particles between them.
+_NAME = rf"(?P<v>(?:[{_CAPITAL}]\. ?){{0,3}}{_WORD}(?: (?:[{_CAPITAL}]\. )?(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|el|al|bin|ter) ){{0,2}}{_WORD}){{0,2}})"
+_PLAIN = rf"(?P<v>[{_CASELESS}]{{2,}}(?: [{_CASELESS}]{{2,}})?)"
+#: Titles that a name follows; academic ones say no gender and may follow others.
+_ACADEMIC = ["Dr", "Prof", "Professor", "Doctor", "Doktor", "Rev", "Доктор", "доктор", "Профессор", "профессор", "проф", "Δρ"]
+_FEMALE = ["Mrs", "Ms", "Miss", "Mme", "Mlle", "Madame", "Frau", "Señora", "Señorita", "Sra", "Srta", "Signora", "Lady", "Dame", "Senhora", "Mevrouw", "Pani", "г-жа", "Госпожа", "госпожа", "пані", "Κα", "Κυρία", "κυρία"]
+_MALE = ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Signor", "Sir", "Lord", "Senhor", "Meneer", "Pan", "г-н", "Господин", "господин", "пан", "Κος", "Κύριος", "κύριος"]
+_also = rf"(?:(?:{'|'.join(_ACADEMIC)})\b\.? )*"
+_titled = lambda titles: rf"\b(?:{'|'.join(titles)})\b\.? {_also}{_NAME}"
+
 #: Patterns by type, tried in this order at each place. The group `v` is what is replaced, or all of it.
 PATTERNS: list[tuple[str, str]] = [
     ("email", r"[A-Za-z0-9](?:[A-Za-z0-9._%+\-]{0,62}[A-Za-z0-9_%+\-])?@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?\.){1,6}[A-Za-z]{2,24}"),
@@ -33,22 +49,41 @@ PATTERNS: list[tuple[str, str]] = [
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?[ \t]{0,3}[:=][ \t]{0,3}[\"']?)(?P<v>[A-Za-z0-9+/_\-]{8,200})"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
+    ("card", r"(?<![\w.])(?:3[47]\d{2}[ \-]?\d{6}[ \-]?\d{5}|3[0689]\d{2}[ \-]?\d{6}[ \-]?\d{4})(?![\d.]\d)(?!\d)"),
     ("card", r"(?<![\d.])(?:\d{4}[ \-]?){3}\d{4}(?![\d.]\d)(?!\d)"),
     ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)"),
     ("phone", r"(?<![\w+])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\b\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\d\-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}(?:[ .\-]?\d){7,12}(?!\d)"),
-    ("name_f", r"\b(?:Mrs|Ms|Miss|Mme|Frau|Señora|Sra)\b\.? (?P<v>[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?: [A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+)?)"),
-    ("name_m", r"\b(?:Mr|Herr|Monsieur|Señor|Sr)\b\.? (?P<v>[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?: [A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+)?)"),
-    ("name_f", r"\bг-жа (?P<v>[А-Я][а-я]+(?: [А-Я][а-я]+)?)"),
-    ("name_m", r"\bг-н (?P<v>[А-Я][а-я]+(?: [А-Я][а-я]+)?)"),
+    ("ip6", r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=(?:[0-9A-Fa-f:]*[0-9]))(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|(?:[0-9A-Fa-f]{1,4}:){2,7}:)(?![\w:])"),
+    ("phone", r"(?<![\w.+\-])0\d(?:[ .\-]\d{2}){4}(?![\w\-]|\.\d)"),
+    ("phone", r"(?<![\w.+\-/=#])[2-9]\d{9}(?![\w\-/]|[.,]\d)"),
+    ("name_f", _titled(_FEMALE)),
+    ("name_m", _titled(_MALE)),
+    ("name", _titled(_ACADEMIC)),
+    ("name_f", rf"(?:السيدة|الآنسة|גב[׳'])\.? {_PLAIN}"),
+    ("name_m", rf"(?:السيد|מר) {_PLAIN}"),
+    ("name", rf"(?:الدكتور|الدكتورة|ד[״\"]ר) {_PLAIN}"),
 ]
 #: A line without a digit and any of these has no entity. Patterns never cross a line.
-LITERALS = ["@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "Mr", "Ms", "Miss", "Mme", "Frau", "Herr", "Monsieur", "Señor", "Sr", "г-"]
+LITERALS = ["@", "AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "sk-", "::", "السيد", "الآنسة", "الدكتور", "גב", "מר ", "ד״ר", 'ד"ר', *_FEMALE, *_MALE, *_ACADEMIC]
+LITERALS = [x for x in LITERALS if not any(y != x and x.startswith(y) for y in LITERALS)]
 KEYWORDS = ["passw", "pwd", "secret", "token", "key"]
 _DIGIT = re.compile(r"\d").search
 #: Syllables that names are built from, by script, and the ends that show gender.
-SYLLABLES = {"latin": ["ma", "re", "lo", "vi", "da", "ni", "so", "ka", "be", "ri", "ta", "mo", "le", "ju", "an", "el"], "cyrillic": ["ма", "ре", "ло", "ви", "да", "ни", "со", "ка", "бе", "ри", "та", "мо", "ле", "ю", "ан", "ел"]}
-ENDS = {("latin", "name_f"): "na", ("latin", "name_m"): "ren", ("cyrillic", "name_f"): "на", ("cyrillic", "name_m"): "рен"}
+SYLLABLES = {
+    "latin": ["ma", "re", "lo", "vi", "da", "ni", "so", "ka", "be", "ri", "ta", "mo", "le", "ju", "an", "el"],
+    "cyrillic": ["ма", "ре", "ло", "ви", "да", "ни", "со", "ка", "бе", "ри", "та", "мо", "ле", "ю", "ан", "ел"],
+    "greek": ["μα", "ρε", "λο", "βι", "δα", "νι", "σο", "κα", "βε", "ρι", "τα", "μο", "λε", "γι", "αν", "ελ"],
+    "hebrew": ["מא", "רי", "לו", "וי", "דא", "ני", "סו", "קא", "בי", "גל", "טא", "מו", "לי", "יו", "אן", "אל"],
+    "arabic": ["ما", "ري", "لو", "في", "دا", "ني", "سو", "كا", "بي", "جا", "تا", "مو", "لي", "يو", "نا", "با"],
+}
+#: A given name's end after a title that says a gender; others have none.
+ENDS = {("latin", "name_f"): "na", ("latin", "name_m"): "ren", ("cyrillic", "name_f"): "на", ("cyrillic", "name_m"): "рен", ("greek", "name_f"): "να", ("greek", "name_m"): "νος"}
+NAMES = ("name_f", "name_m", "name", "surname")
+_SCRIPTS = [("cyrillic", re.compile("[\u0400-\u052f]")), ("greek", re.compile("[\u0370-\u03ff]")), ("hebrew", re.compile("[\u0590-\u05ff]")), ("arabic", re.compile("[\u0600-\u06ff]"))]
+_PART = re.compile(rf"{_WORD}|[{_CASELESS}]{{2,}}")
+_ANY = re.compile(rf"[^\W\d_]+(?:['’\-][{_CAPITAL}][^\W\d_]+)*")
+_SIMPLE = re.compile(r"[^\W\d_]+")
 
 _FOUND = re.compile("|".join(f"(?P<t{k}>{p.replace('(?P<v>', f'(?P<v{k}>')})" for k, (_, p) in enumerate(PATTERNS)))
 
@@ -61,24 +96,67 @@ def _may_hold(text: str) -> bool:
 
 
 def find(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, value) of the entities of a text, in order and apart."""
+    """(start, end, type, value) of the entities of a text, in order and apart. Each word of a name is one: its last is the surname."""
     out: list[tuple[int, int, str, str]] = []
     if not _may_hold(text):
         return out
-    at = 0
+    at, titled = 0, []
     for line in text.split("\n"):
         if _may_hold(line):
             for m in _FOUND.finditer(line):
                 k = int(m.lastgroup[1:])
                 g = f"v{k}" if m.groupdict().get(f"v{k}") is not None else f"t{k}"
                 kind = PATTERNS[k][0]
-                out.append((at + m.start(g), at + m.end(g), kind, canonical(kind, m[g])))
+                if kind in NAMES:
+                    titled.append((kind, [x[0] for x in _PART.finditer(m[g])]))
+                else:
+                    out.append((at + m.start(g), at + m.end(g), kind, canonical(kind, m[g])))
         at += len(line) + 1
+    return sorted(out + _mentions(text, titled, out)) if titled else out
+
+
+def _mentions(text: str, titled: list[tuple[str, list[str]]], taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Every mention in the text of a word of a name that has a title somewhere in it, outside of other entities.
+
+    A single word after a title is a surname unless the text has it as a given name only; a word that is both counts as what
+    stands after it says: given if another word of a name follows."""
+    surnames = {words[-1] for _, words in titled if len(words) > 1}
+    given: dict[str, str] = {}
+    for kind, words in titled:
+        for w in words[:-1]:
+            given[w] = kind if given.get(w, "name") == "name" else given[w]
+    for kind, words in titled:
+        if len(words) == 1 and words[0] not in given:
+            surnames.add(words[0])
+    known = surnames | given.keys()
+    forms = {w: w for w in known} | {w.upper(): w for w in known if len(w) > 1 and w.upper() not in known}
+    spans = []
+    for m in _ANY.finditer(text):
+        if m[0] in forms:
+            spans.append((m.start(), m.end(), forms[m[0]]))
+        elif "-" in m[0] or "'" in m[0] or "’" in m[0]:
+            spans += [(m.start() + x.start(), m.start() + x.end(), forms[x[0]]) for x in _SIMPLE.finditer(m[0]) if x[0] in forms]
+    out, k, taken = [], 0, sorted(taken)
+    for j, (s, e, w) in enumerate(spans):
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if k < len(taken) and taken[k][0] < e:
+            continue
+        both = w in surnames and w in given
+        follows = both and j + 1 < len(spans) and text[e : spans[j + 1][0]] == " "
+        out.append((s, e, given[w] if w not in surnames or follows else "surname", w))
     return out
 
 
 def canonical(kind: str, value: str) -> str:
-    return value.lower() if kind == "email" else re.sub(r"[ \-]", "", value) if kind in ("card", "iban") else re.sub(r"[^\d+]", "", value) if kind == "phone" else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else value
+    return value.lower() if kind == "email" else re.sub(r"[ \-]", "", value) if kind in ("card", "iban") else re.sub(r"[^\d+]", "", value) if kind == "phone" else ".".join(str(int(x)) for x in value.split(".")) if kind == "ip" else _address6(value) if kind == "ip6" else value
+
+
+def _address6(value: str) -> str:
+    try:
+        return str(ipaddress.IPv6Address(value))
+    except ValueError:
+        return value.lower()
 
 
 def _prf(key: bytes, *parts: object) -> int:
@@ -155,16 +233,17 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             out = ("+" if value.startswith("+") else "") + d[:keep] + permuted(d[keep:], key, tweak)
         elif kind == "iban":
             out = value[:2] + permuted(value[2:4], key, tweak + value) + _charwise(value[4:], key, tweak)
-        elif kind in ("name_f", "name_m"):
-            script = "cyrillic" if re.search("[А-я]", value) else "latin"
-            words = []
-            for k, w in enumerate(value.split(" ")):
-                x, s = _prf(key, tweak, k, w), ""
-                for _ in range(4 + attempt):
-                    x, r = divmod(x, 16)
-                    s += SYLLABLES[script][r]
-                words.append((s + (ENDS[script, kind] if k == 0 else "")).capitalize())
-            out = " ".join(words)
+        elif kind == "ip6":
+            out = str(ipaddress.IPv6Address(0x20010DB8 << 96 | _prf(key, tweak, value) >> 32))
+        elif kind in NAMES:
+            script = next((x for x, own in _SCRIPTS if own.search(value)), "latin")
+            x, out = _prf(key, tweak, value), ""
+            for _ in range(4 + attempt):
+                if not x:
+                    x = _prf(key, tweak, value, out)
+                x, r = divmod(x, 16)
+                out += SYLLABLES[script][r]
+            out = (out + ENDS.get((script, kind), "")).capitalize()
         elif value[:4] in ("AKIA", "ASIA") or re.match(r"gh[pousr]_|sk-", value):
             out = value[:4] + _charwise(value[4:], key, tweak) if value[:3] != "sk-" else value[:3] + _charwise(value[3:], key, tweak)
         else:
@@ -179,7 +258,7 @@ def shaped(kind: str, original: str, new: str) -> str:
     if kind in ("card", "phone", "iban"):
         chars = iter(new.lstrip("+"))
         return "".join(next(chars, "0") if c.isalnum() else c for c in original)
-    return new.upper() if kind == "email" and original.isupper() else new
+    return new.upper() if (kind == "email" or kind in NAMES and len(original) > 1) and original.isupper() else new
 
 
 def entities(docs: DataFrame) -> DataFrame:
@@ -231,7 +310,9 @@ def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY, m
             new = memo[kind, value] = surrogate(kind, value, attempts.get((kind, value), 0), key)
         out += [text[at:s], shaped(kind, text[s:e], new)]
         at = e
-    return "".join(out) + text[at:] if found else text, len(found)
+    # The words of one name count once.
+    n = len(found) - sum(a[2] in NAMES and b[2] in NAMES and text[a[1] : b[0]] == " " for a, b in zip(found, found[1:]))
+    return "".join(out) + text[at:] if found else text, n
 
 
 def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
