@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import crc_mod, id_text, lowest
 
 BUCKETS = 1 << 14
-#: Rows that the model is fitted on, about; rows with the lowest hashes of doc_id are taken.
+#: Rows of each lang that the model is fitted on, about; rows with the lowest hashes of doc_id are taken.
 FIT_ROWS = 8000
 ROUNDS, SMOOTH = 12, 0.5
 _LETTER = re.compile(r"[^\W\d_]")
@@ -37,13 +37,17 @@ def grams(text: str) -> np.ndarray:
 
 
 def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, train=None) -> tuple[list[str], np.ndarray]:
-    """Languages and their trigram probabilities, from whole texts of a bounded sample of rows that have a lang.
+    """Languages and their trigram probabilities, from whole texts of a bounded sample of the rows of each lang.
 
     What reaches the driver is one array of counts per language and task. Without labelled rows there are no languages."""
     rows = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     rows = rows if train is None else rows.filter(train)
-    n = rows.select("doc_id").count()
-    rows = rows.filter(lowest(fit_rows, n, "doc_id"))
+    # Only langs of more rows are sampled, so that none is lost however rare it is.
+    many = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).filter(F.col("n") > fit_rows).collect()}
+    sampled = F.lit(True)
+    for lang, n in many.items():
+        sampled = F.when(F.col("lang") == lang, lowest(fit_rows, n, "doc_id")).otherwise(sampled)
+    rows = rows.filter(sampled)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from gridloom.llm import packing, pii
+from gridloom.llm import langid, packing, pii
 
 
 def _gains(bins, lengths, capacity):
@@ -84,3 +84,10 @@ def test_pii_later_mentions_agree():
         assert gone not in swap(t), (t, swap(t))
     for t in ("std::vector<int> x; a::b", "at 12:30:45 on 2024-01-02", "1712345678", "Smith said", "Pandas and Drums", "Panama"):
         assert swap(t) == t
+
+
+def test_language_learns_every_lang(spark):
+    rows = [(i, "the water and the people", "en") for i in range(4000)] + [(9000 + i, "die Straße und das Haus", "de") for i in range(3)]
+    langs, p = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=4)
+    assert "de" in langs  # three of 4,003 rows, of which about four were taken before
+    assert p.shape == (langid.BUCKETS, len(langs))
