@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +47,38 @@ def lowest(rows: int, n: int, *hashed):
     return F.pmod(F.xxhash64(*hashed), F.lit(parts)) < (parts if rows >= n else rows * parts // n)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; a folder of this process only where the session names none."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="gridloom-"))
-    return df.checkpoint(eager=True)
+def _shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names. Only a session on this one machine may go without and gets a folder of its own."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isDefined():
+        return known.get()
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="gridloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written as a table to the shared checkpoint folder and read back: lineage is cut, and its size is known to the planner."""
+    path = f"{_shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._gridloom_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t._gridloom_path)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def few_tasks(df: DataFrame, rows: int, per_task: int) -> DataFrame:
+    """df in about `rows` / `per_task` tasks, if it has more: small tables are not spread over the whole cluster."""
+    return df.coalesce(max(1, -(-rows // per_task)))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -1,16 +1,18 @@
 """Operator 2: near duplicates by bottom-k sketches of one hash function.
 
-Documents with equal shingle sets are first collapsed into classes. A class's sketch is its k lowest shingle hashes; the
-inverted lists are keyed by two values that follow each other in a sketch. Two sets of Jaccard similarity 0.8 miss every
-such list with a chance under 1e-9. Lists up to LIST classes give all their pairs; in longer ones a class first meets the
-list's pivot and its neighbours by size. Union sketches then estimate each pair, full sets decide, and components follow.
-What long lists leave out is compared afterwards, block by block, where it could still join components.
+Documents with equal shingle sets are first collapsed into classes. A class's sketch is its K lowest shingle hashes. Inverted
+lists are keyed by retained values, of each class by the rarest among its INDEX lowest: linked classes share so many of those
+that they meet in a list of a rare one. Pairs that meet are counted (their overlap); union sketches then estimate them, full
+sets decide, and components follow: first each class is compared with the partner of most overlap, then only what is still
+apart. Lists up to LIST classes give all their pairs; in longer ones a class first meets the list's pivot and its neighbours
+by size, and what that leaves out is compared afterwards, block by block, where it could still join components.
 """
 
 from __future__ import annotations
 
 from collections import deque
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -18,25 +20,34 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import _COEF, blocks, checkpointed, id_text, mix, shingle_hashes, text_buffers, word_hashes
+from gridloom.llm.common import blocks, dropped, id_text, shingle_hashes, stored, text_buffers, word_hashes
 from gridloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
-K, RUNS = 64, 32
-#: A pair goes on if at least so many of the union's lowest 64 values are common; at 0.8 a Binomial(64, 0.8) falls below 34 with a chance under 1e-6.
-ESTIMATE = 34
-LIST, NEAR = 48, 2
-#: Linked sets share so many lists at least, but for a chance under 1e-6 at 0.8 (if one set holds the other, less else).
-SHARED = 4
+#: Values of a sketch, and those of them that may key inverted lists.
+K, INDEX = 64, 32
+#: Chances to overlook a link of just the least similarity: in the lists, and by the estimate.
+LISTS_MISS, ESTIMATE_MISS = 1e-9, 1e-8
+LIST, NEAR = 32, 2
 #: Classes and shingles of a block of a long list: they bound a task's memory.
 CELL_ROWS, CELL_SHINGLES = 2048, 1 << 20
-#: Ids of 8 bytes, so that at most a few MB are broadcast.
-BROADCAST_IDS = 1 << 18
 #: Lists over this share of all entries are dealt over several tasks; there are at most 1 / HOT_SHARE of them.
 HOT_SHARE, HOT_PARTS = 1e-4, 64
+#: Pairs of one class that meet in one task; a class with more is copied to several.
+PAIRS = 1000
 _MAX = np.uint64(2**64 - 1)
 
 
+def least_common(k: int, percent: int, miss: float) -> int:
+    """So many of the lowest k values of a union are common to both sets, if percent of all are, but for a chance of `miss`."""
+    p, tail = percent / 100, 0.0
+    for x in range(k + 1):
+        tail += comb(k, x) * p**x * (1 - p) ** (k - x)
+        if tail > miss:
+            return max(1, x)
+    return k
+
+
 def _sets(column: pa.Array, words: int) -> Iterator[np.ndarray]:
     raw, offs = text_buffers(column)
     for i, j in blocks(offs):
@@ -60,20 +71,27 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, sig binary, sketch binary")
 
 
-def _entries(classes: DataFrame) -> DataFrame:
+def entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(key, id, n): of each class (id, n, sketch) its rarest values among the INDEX lowest, as many as must hold one that a
+    linked class retains too (the prefix filter: all order values by frequency, then by value). Values of one class only,
+    and classes that share too few values with any other, are left out."""
+    least = least_common(INDEX, percent, LISTS_MISS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, rows = [], []
-            for k, x in enumerate(b.column(2).to_pylist()):
-                v = np.frombuffer(x, np.uint64)[: RUNS + 1]
-                if len(v) > 1:
-                    keys.append(mix(v[:-1] * _COEF[0] + v[1:] * _COEF[1]))
-                    rows.append(np.full(len(v) - 1, k))
-            at = pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64))
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "n"])
+            low = [np.frombuffer(x, np.int64)[:INDEX] for x in b.column(2).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(low)), [len(v) for v in low]))
+            key = np.concatenate(low) if low else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "n"])
 
-    return classes.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long")
+    every = classes.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long")
+    often = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    mine = Window.partitionBy("id")
+    size = F.least(F.col("n"), F.lit(INDEX))
+    # The whole of a linked set is among the values only if it has at most INDEX itself.
+    need = F.when(F.col("n") * 100 <= INDEX * percent, F.ceil(F.col("n") * percent / 100)).otherwise(least)
+    ranked = every.join(often, "key").withColumn("own", F.count("*").over(mine)).withColumn("rank", F.row_number().over(mine.orderBy("c", "key")))
+    return ranked.filter((F.col("own") >= need) & (size - F.col("own") + F.col("rank") <= size - need + 1)).select("key", "id", "n")
 
 
 def _pairs(percent: int):
@@ -109,18 +127,26 @@ def _pairs(percent: int):
 
 
 def long_lists(entries: DataFrame) -> DataFrame:
-    """(key, c): inverted lists of over LIST entries."""
+    """(key, c): inverted lists of over LIST classes."""
     return entries.groupBy("key").agg(F.count("*").alias("c")).filter(F.col("c") > LIST)
 
 
 def candidates(entries: DataFrame, long: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b), a < b: pairs of classes that meet in an inverted list; in a long one, with its pivot or nearby by size."""
+    """(a, b, overlap), a < b: pairs of classes that meet in inverted lists, and in how many; in a long one, those that meet
+    its pivot or are nearby by size."""
     cut = max(4096, int(entries.count() * HOT_SHARE))
     hot = entries.join(F.broadcast(long.filter(F.col("c") > cut).select("key")), "key").groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
     hot = hot.select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
     dealt = entries.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.floor(F.log(1.25, F.col("n").cast("double"))) * HOT_PARTS + F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).cast("int"))
     dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id").select("key", "salt", "id", "n", "hot", "hot_n")
-    return dealt.mapInArrow(_pairs(percent), "a long, b long").distinct()
+    return dealt.mapInArrow(_pairs(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+
+
+def best_partners(pairs: DataFrame) -> DataFrame:
+    """(a, b): for every class in pairs (a, b, overlap) the pair of most overlap; ties go by hash, so that no class attracts all."""
+    both = pairs.select("a", "b", "overlap", F.explode(F.array("a", "b")).alias("x"))
+    best = both.groupBy("x").agg(F.max(F.struct("overlap", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p"))
+    return best.select("p.a", "p.b").distinct()
 
 
 def _common(x: list[bytes], y: list[bytes]) -> np.ndarray:
@@ -134,17 +160,28 @@ def _common(x: list[bytes], y: list[bytes]) -> np.ndarray:
     return (twin & (rank[:, 1:] <= K)).sum(axis=1) * K / np.maximum(1, np.minimum(rank[:, -1], K))
 
 
-def estimated(pairs: DataFrame, classes: DataFrame, estimate: int = ESTIMATE) -> DataFrame:
+def _with_values(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with both classes' values (id, value). y moves once a pair and x once for PAIRS of its pairs, so that
+    a class with very many pairs neither lies in one task nor is copied for each."""
+    many = pairs.groupBy("a").agg(F.count("*").alias("c")).filter(F.col("c") > PAIRS).select("a", F.ceil(F.col("c") / PAIRS).cast("int").alias("parts"))
+    dealt = pairs.join(many, "a", "left").withColumn("salt", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("b"), F.col("parts"))).cast("int"))
+    copies = values.withColumnsRenamed({"id": "a", "value": "x"}).join(many, "a", "left")
+    copies = copies.select("a", "x", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+    with_y = dealt.select("a", "b", "salt").join(values.withColumnsRenamed({"id": "b", "value": "y"}), "b")
+    return with_y.join(copies, ["a", "salt"]).select("a", "b", "x", "y")
+
+
+def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those pairs that share enough of the lowest K values of their union."""
+    least = least_common(K, percent, ESTIMATE_MISS)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 2048):
                 p = b.slice(k, 2048)
-                keep = _common(p.column(2).to_pylist(), p.column(3).to_pylist()) >= estimate
-                yield p.select([0, 1]).filter(pa.array(keep))
+                yield p.select([0, 1]).filter(pa.array(_common(p.column(2).to_pylist(), p.column(3).to_pylist()) >= least))
 
-    s = classes.select("id", "sketch")
-    joined = pairs.join(s.withColumnsRenamed({"id": "a", "sketch": "x"}), "a").join(s.withColumnsRenamed({"id": "b", "sketch": "y"}), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return _with_values(pairs, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -153,58 +190,73 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = pairs.join(sets.withColumnsRenamed({"id": "a", "set": "x"}), "a").join(sets.withColumnsRenamed({"id": "b", "set": "y"}), "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(run, "a long, b long")
+    return _with_values(pairs, sets).mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, set) of the documents with these ids. Up to BROADCAST_IDS of them are sent to the texts; more meet them in a shuffle."""
-    ids = checkpointed(ids)
-    wanted = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    """(id, value) of the documents with these ids, a stored table: the planner knows its size, and sends it to the texts or
+    shuffles both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b.column(1), words)], pa.binary())], ["id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b.column(1), words)], pa.binary())], ["id", "value"])
+
+    texts = id_text(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    return texts.mapInArrow(run, "id long, value binary").groupBy("id").agg(F.first("value").alias("value"))
 
-    return id_text(docs).withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
 
-def links(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): links among the candidates that make up the same components as all of those do. First every class is verified
-    against one partner; then only pairs that are still apart are."""
-    found = checkpointed(estimated(candidates(entries, long, percent), classes))
-    ids = found.select(F.col("a").alias("id")).unionByName(found.select(F.col("b").alias("id"))).distinct()
-    sets = checkpointed(full_sets(docs, ids, words))
-    sure = checkpointed(verified(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent))
-    comp = checkpointed(components(sure))
-    left = found
+
+def still_apart(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     for side in ("a", "b"):
-        left = left.join(comp.withColumnsRenamed({"id": side, "component": f"c{side}"}), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
-    return sure.unionByName(verified(left.filter("ca <> cb").select("a", "b"), sets, percent))
+        pairs = pairs.join(comp.withColumnsRenamed({"id": side, "component": f"c{side}"}), side, "left").withColumn(f"c{side}", F.coalesce(f"c{side}", side))
+    return pairs.filter("ca <> cb").drop("ca", "cb")
+
+
+def links(docs: DataFrame, classes: DataFrame, found: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(id, component) by links among the pairs found (a, b, overlap). Each class is compared with the partner of most
+    overlap; of the other pairs those still apart are estimated, and again each class compared with one; then all that are left."""
+    pick = stored(best_partners(found))
+    near = stored(estimated(pick, classes, percent))
+    ids = stored(_ids(near))
+    sets = stored(full_sets(docs, ids, words))
+    sure = stored(verified(near, sets, percent))
+    comp = components(sure)
+    left = stored(estimated(still_apart(found, comp).join(pick, ["a", "b"], "left_anti").select("a", "b"), classes, percent))
+    dropped(pick, near)
+    if left.isEmpty():
+        dropped(ids, sets, sure, left)
+        return comp
+    more = stored(_ids(left).join(ids, "id", "left_anti"))
+    sets2 = stored(full_sets(docs, more, words).unionByName(sets.join(_ids(left), "id", "left_semi")))
+    dropped(ids, sets, more)
+    pick = stored(best_partners(left.withColumn("overlap", F.lit(1))))
+    sure2 = stored(sure.unionByName(verified(pick, sets2, percent)))
+    comp2 = components(sure2)
+    last = verified(still_apart(left, comp2).join(pick, ["a", "b"], "left_anti"), sets2, percent)
+    out = components(sure2.unionByName(last))
+    dropped(sure, comp, left, sets2, pick, sure2, comp2)
+    return out
 
 
-def apart(entries: DataFrame, long: DataFrame, comp: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(key, id, component, n, shared, major, sizes): the entries in which links between components can still be found, with
-    the lower keys of their class (shared). Such a link was in no list of up to LIST classes, so that all lists its two classes share are long. It shares SHARED of
-    them at least, or what a small set must; so classes in fewer are done, and of the others each leaves its longest lists
-    out, as many as still leave every link one list (the prefix filter)."""
+def apart(entries: DataFrame, long: DataFrame, comp: DataFrame) -> DataFrame:
+    """(key, id, component, n, shared, major, sizes): the entries of long lists in which links between components can still be
+    found, with the lower ones of such keys of their class (shared). A link that is left was in no list of up to LIST
+    classes, and the two classes share one list at least."""
     e = entries.join(long.select("key"), "key").join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    e = checkpointed(e.select("key", "id", "n", "component"))
     by = e.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     lists = by.groupBy("key").agg(F.sum("c").alias("m"), F.sum("s").alias("s"), F.max(F.struct("c", "s", "component")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    lists = lists.select("key", "m", F.col("top.component").alias("major"), F.array(F.col("m") - F.col("top.c"), F.col("s") - F.col("top.s"), "top.c", "top.s").alias("sizes"))
-    need = F.least(F.lit(SHARED), F.greatest(F.lit(1), F.floor(((2 * percent - 100) * F.col("n") - 1) / 100)))
-    mine = Window.partitionBy("id")
-    e = e.join(lists, "key").withColumn("rank", F.row_number().over(mine.orderBy(F.desc("m"), "key"))).withColumn("lists", F.count("*").over(mine))
-    e = e.filter((F.col("lists") >= need) & (F.col("rank") >= need)).withColumn("shared", F.collect_list("key").over(mine))
-    e = e.withColumn("shared", F.filter("shared", lambda k: k < F.col("key")))
-    return e.select("key", "id", "component", "n", "shared", "major", "sizes")
+    lists = lists.select("key", F.col("top.component").alias("major"), F.array(F.col("m") - F.col("top.c"), F.col("s") - F.col("top.s"), "top.c", "top.s").alias("sizes"))
+    e = e.join(lists, "key").withColumn("shared", F.collect_list("key").over(Window.partitionBy("id")))
+    return e.select("key", "id", "component", "n", F.filter("shared", lambda k: k < F.col("key")).alias("shared"), "major", "sizes")
 
 
 def _bits(rows: np.ndarray, values: np.ndarray, m: int) -> np.ndarray:
@@ -218,87 +270,133 @@ def _bits(rows: np.ndarray, values: np.ndarray, m: int) -> np.ndarray:
     return out
 
 
-def _cell_links(split: bool, rows: list[tuple], percent: int) -> Iterator[tuple[int, int]]:
-    """Links between different components within one cell, as pairs of components; none that follows from those before.
-    rows: (id, component, block, shared, set). A pair is compared in the least of the lists that it shares."""
-    m = len(rows)
-    root, block = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    if m < 2 or (root == root[0]).all():
-        return
-    own = root.copy()
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-    n = np.array([len(s) for s in sets])
-    low = np.minimum(n, K)
-    sketch = _bits(np.repeat(np.arange(m), low), np.concatenate([s[:K] for s in sets]), m)
-    before = [np.array(r[3], np.int64) for r in rows]
-    earlier = _bits(np.repeat(np.arange(m), [len(b) for b in before]), np.concatenate(before), m)
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    start = np.concatenate([[0], np.cumsum(n)])
-    mark = np.zeros(int(flat.max()) + 1, bool)
-    for i in range(m - 1):
-        ok = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i + 1 :], n[i]) >= percent * np.maximum(n[i + 1 :], n[i]))
-        if split:
-            ok &= block[i + 1 :] != block[i]
+class _Cell:
+    """The classes of one cell: rows (id, component, block, n, shared, values), values being a sketch or a full set."""
+
+    def __init__(self, split: bool, rows: list[tuple], percent: int):
+        m = len(rows)
+        self.split, self.percent, self.least = split, percent, least_common(K, percent, ESTIMATE_MISS)
+        self.root, self.block, self.n = (np.array([r[k] for r in rows], np.int64) for k in (1, 2, 3))
+        self.own = self.root.copy()
+        self.sets = [np.frombuffer(r[5], np.uint64) for r in rows]
+        self.low = np.minimum(self.n, K)
+        self.sketch = _bits(np.repeat(np.arange(m), self.low), np.concatenate([s[:K] for s in self.sets]), m)
+        before = [np.array(r[4], np.int64) for r in rows]
+        self.earlier = _bits(np.repeat(np.arange(m), [len(b) for b in before]), np.concatenate(before), m)
+
+    def near(self, i: int) -> np.ndarray:
+        """Later classes of other components that pass the estimate with class i. A pair is compared in the least of the lists that it shares."""
+        n, root, at = self.n, self.root, slice(i + 1, None)
+        ok = (root[at] != root[i]) & (100 * np.minimum(n[at], n[i]) >= self.percent * np.maximum(n[at], n[i]))
+        if self.split:
+            ok &= self.block[at] != self.block[i]
         js = np.flatnonzero(ok) + i + 1
-        js = js[~(earlier[js] & earlier[i]).any(axis=1)]
-        common = np.bitwise_count(sketch[js] & sketch[i]).sum(axis=1, dtype=np.int64)
-        js = js[common * K >= ESTIMATE * np.minimum(K, low[js] + low[i] - common)]
-        if not len(js):
-            continue
-        mark[flat[start[i] : start[i + 1]]] = True
-        both = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in js])
-        mark[flat[start[i] : start[i + 1]]] = False
-        for j in js[100 * both >= percent * (n[js] + n[i] - both)]:
-            if root[j] != root[i]:
-                yield int(own[i]), int(own[j])
-                root[root == root[j]] = root[i]
-
-
-def rest(docs: DataFrame, entries: DataFrame, long: DataFrame, comp: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """(a, b): pairs of components with a link that long lists have left out. A list's classes outside its largest component
-    are compared, by full sets, with all of its classes of other components. Lists are dealt in blocks of at most about
-    CELL_ROWS classes and CELL_SHINGLES shingles, two blocks to a cell; a cell hands on fewer pairs than it has classes."""
-    e = checkpointed(apart(entries, long, comp, percent))
-    sets = full_sets(docs, e.select("id").distinct(), words)
-    blocks_of = lambda c, s: F.greatest(F.lit(1), F.ceil(F.col("sizes")[c] / CELL_ROWS), F.ceil(F.col("sizes")[s] / CELL_SHINGLES)).cast("int")
-    one = (F.col("sizes")[0] + F.col("sizes")[2] <= CELL_ROWS) & (F.col("sizes")[1] + F.col("sizes")[3] <= CELL_SHINGLES)
-    e = e.withColumn("minors", blocks_of(0, 1)).withColumn("majors", blocks_of(2, 3)).withColumn("h", F.xxhash64("id"))
-    e = e.withColumn("block", F.when(one, 0).when(F.col("component") == F.col("major"), F.col("minors") + F.pmod("h", F.col("majors"))).otherwise(F.pmod("h", F.col("minors"))).cast("int"))
-    others = F.when(F.col("block") >= F.col("minors"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
-    cells = F.transform(F.when(one, F.array(F.lit(0))).otherwise(others), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
-    e = e.select("key", "id", "component", "block", "shared", F.explode(cells).alias("cell"))
+        js = js[~(self.earlier[js] & self.earlier[i]).any(axis=1)]
+        common = np.bitwise_count(self.sketch[js] & self.sketch[i]).sum(axis=1, dtype=np.int64)
+        return js[common * K >= self.least * np.minimum(K, self.low[js] + self.low[i] - common)]
+
+    def possible(self) -> np.ndarray:
+        """Which classes have any such partner."""
+        out = np.zeros(len(self.root), bool)
+        for i in range(len(out) - 1):
+            if len(js := self.near(i)):
+                out[i] = out[js] = True
+        return out
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """Links by full sets, as pairs of components; none that follows from those before."""
+        flat = np.unique(np.concatenate(self.sets), return_inverse=True)[1]
+        start = np.concatenate([[0], np.cumsum(self.n)])
+        mark = np.zeros(int(flat.max()) + 1, bool)
+        for i in range(len(self.root) - 1):
+            js = self.near(i)
+            if not len(js):
+                continue
+            mark[flat[start[i] : start[i + 1]]] = True
+            both = np.array([np.count_nonzero(mark[flat[start[j] : start[j + 1]]]) for j in js])
+            mark[flat[start[i] : start[i + 1]]] = False
+            for j in js[100 * both >= self.percent * (self.n[js] + self.n[i] - both)]:
+                if self.root[j] != self.root[i]:
+                    yield int(self.own[i]), int(self.own[j])
+                    self.root[self.root == self.root[j]] = self.root[i]
+
+
+_CELL = "key long, lo int, hi int, id long, component long, block int, n long, shared array<long>"
+
+
+def _by_cell(percent: int, verify: bool):
+    """Over rows of _CELL with their values, sorted by cell: the rows that may have a link, or links as pairs of components."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())]) if verify else pa.schema([("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("id", pa.int64()), ("component", pa.int64()), ("block", pa.int32()), ("n", pa.int64()), ("shared", pa.list_(pa.int64()))])
+
+    def settled(cell: tuple, rows: list[tuple]) -> list[tuple]:
+        if len({r[1] for r in rows}) < 2:
+            return []
+        c = _Cell(cell[1] != cell[2], rows, percent)
+        return list(c.links()) if verify else [(*cell, *r[:5]) for r, ok in zip(rows, c.possible()) if ok]
+
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found) if found else [[]] * len(schema), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
         for b in batches:
-            found: list[tuple[int, int]] = []
+            found: list[tuple] = []
             for key, lo, hi, *row in zip(*(c.to_pylist() for c in b.columns)):
                 if (key, lo, hi) != cell:
-                    if cell is not None:
-                        found += _cell_links(cell[1] != cell[2], rows, percent)
+                    found += settled(cell, rows) if cell else []
                     cell, rows = (key, lo, hi), []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in found], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-        if cell is not None:
-            yield pa.RecordBatch.from_pylist([{"a": x, "b": y} for x, y in _cell_links(cell[1] != cell[2], rows, percent)], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            yield batch(found)
+        if cell:
+            yield batch(settled(cell, rows))
+
+    return run
 
-    dealt = e.join(sets, "id").select("key", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "id", "component", "block", "shared", "set")
-    return dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(run, "a long, b long")
+
+def rest(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFrame, comp: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): pairs of components with a link that long lists have left out. A list's classes outside its largest component
+    are compared with all of its classes of other components. Lists are dealt in blocks of at most about CELL_ROWS classes
+    and CELL_SHINGLES shingles, two blocks to a cell. Sketches alone go to the cells; full sets follow only for classes that
+    pass the estimate with another there. A cell hands on fewer pairs than it has classes."""
+    e = stored(apart(entries, long, comp))
+    blocks_of = lambda c, s: F.greatest(F.lit(1), F.ceil(F.col("sizes")[c] / CELL_ROWS), F.ceil(F.col("sizes")[s] / CELL_SHINGLES)).cast("int")
+    one = (F.col("sizes")[0] + F.col("sizes")[2] <= CELL_ROWS) & (F.col("sizes")[1] + F.col("sizes")[3] <= CELL_SHINGLES)
+    cells = e.withColumn("minors", blocks_of(0, 1)).withColumn("majors", blocks_of(2, 3)).withColumn("h", F.xxhash64("id"))
+    cells = cells.withColumn("block", F.when(one, 0).when(F.col("component") == F.col("major"), F.col("minors") + F.pmod("h", F.col("majors"))).otherwise(F.pmod("h", F.col("minors"))).cast("int"))
+    others = F.when(F.col("block") >= F.col("minors"), F.sequence(F.lit(0), F.col("minors") - 1)).otherwise(F.sequence(F.lit(0), F.col("minors") + F.col("majors") - 1))
+    pair = F.transform(F.when(one, F.array(F.lit(0))).otherwise(others), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+
+    def dealt(rows: DataFrame, values: DataFrame) -> DataFrame:
+        got = rows.join(values, "id").select("key", F.explode("cells").alias("cell"), "id", "component", "block", "n", "shared", "value")
+        got = got.select("key", "cell.lo", "cell.hi", "id", "component", "block", "n", "shared", "value")
+        return got.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    rows = cells.select("key", "id", "component", "block", "n", "shared", pair.alias("cells"))
+    near = stored(dealt(rows, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(_by_cell(percent, False), _CELL))
+    sets = stored(full_sets(docs, near.select("id").distinct(), words))
+    out = stored(dealt(near.withColumn("cells", F.array(F.struct("lo", "hi"))), sets).mapInArrow(_by_cell(percent, True), "a long, b long"))
+    dropped(e, near, sets)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row: documents are linked if 100 * |A & B| >= percent * |A | B| over
     their sets of word shingles (A-Z as a-z; fewer words make one shingle). Texts without words, null ones too, stand alone.
-    Rows that repeat a doc_id repeat in the result. Shingles are compared as 64-bit hashes."""
-    sk = checkpointed(sketches(docs, words))
-    classes = checkpointed(sk.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
-    entries = checkpointed(_entries(classes))
-    long = checkpointed(long_lists(entries))
-    comp = checkpointed(components(links(docs, classes.select("id", "n", "sketch"), entries, long, words, percent)))
+    Rows that repeat a doc_id repeat in the result; an empty table gives none. Other columns are not read, whatever their
+    names. Whole texts are hashed, however long. Shingles are compared as 64-bit hashes."""
+    sk = stored(sketches(docs, words))
+    classes = stored(sk.filter("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")))
+    lists = stored(entries(classes, percent))
+    long = stored(long_lists(lists))
+    found = stored(candidates(lists, long, percent))
+    comp = links(docs, classes, found, words, percent)
+    dropped(found)
     of = classes.select("sig", "id").join(comp, "id", "left").select("sig", F.coalesce("component", "id").alias("component"))
     if not long.isEmpty():
-        joined = components(checkpointed(rest(docs, entries, long, comp, words, percent)))
+        joined = components(rest(docs, classes, lists, long, comp, words, percent))
         of = of.join(joined.select(F.col("id").alias("component"), F.col("component").alias("low")), "component", "left").select("sig", F.coalesce("low", "component").alias("component"))
+    of = stored(of)
+    dropped(classes, lists, long, comp)
     out = sk.select("doc_id", "n_shingles", "sig").join(of, "sig", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
