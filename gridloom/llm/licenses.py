@@ -93,7 +93,7 @@ def document_files(docs: DataFrame) -> DataFrame:
 
 def license_rows(docs: DataFrame) -> DataFrame:
     """Rows for every document; a repeated doc_id repeats."""
-    from gridloom.llm.common import checkpointed
+    from gridloom.llm.common import stored
 
     files = document_files(docs)
-    return inherited(files, checkpointed(scanned(files)))
+    return inherited(files, stored(scanned(files)))

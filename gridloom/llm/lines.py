@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, checkpointed, id_text
+from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, stored, id_text
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _SPACE = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     first of them, by document and position, stays. A document counts once however often it has the line."""
     hashes = line_hashes(docs, min_chars)
     n = max(hashes.sparkSession.sparkContext.defaultParallelism, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = checkpointed(hashes.repartitionByRange(n, "h", "g", "doc_id", "copy", "pos").sortWithinPartitions("h", "g", "doc_id", "copy", "pos").mapInArrow(_stream(min_docs), "kind int, h long, g int, doc_id long, copy long, pos int, n long, first boolean"))
+    found = stored(hashes.repartitionByRange(n, "h", "g", "doc_id", "copy", "pos").sortWithinPartitions("h", "g", "doc_id", "copy", "pos").mapInArrow(_stream(min_docs), "kind int, h long, g int, doc_id long, copy long, pos int, n long, first boolean"))
     edges: dict[tuple[int, int], list] = {}
     for r in found.filter("kind = 2").orderBy("pos").collect():  # at most two rows a partition
         e = edges.setdefault((r["h"], r["g"]), [0, None, r["pos"]])

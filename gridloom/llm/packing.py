@@ -283,7 +283,7 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD
 def pack_documents(docs: DataFrame) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
 
-    The pieces are checkpointed (a few numbers each), so that texts are tokenised once."""
-    from gridloom.llm.common import checkpointed
+    The pieces are stored (a few numbers each), so that texts are tokenised once."""
+    from gridloom.llm.common import stored
 
-    return packed(checkpointed(pieces(docs)))
+    return packed(stored(pieces(docs)))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import checkpointed, id_text
+from gridloom.llm.common import stored, id_text
 
 KEY = b"gridloom-surrogates-v1"
 #: Redrawn entities are broadcast to the rewriting pass up to so many; beyond, texts are joined to their own entities.
@@ -286,19 +286,19 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
     """(kind, value, attempt) of the distinct entities whose first replacement met another entity or replacement. Drawn until
     none does: each attempt lengthens names, so that it ends; a fixed format whose space is full is an error."""
     values = found.select("kind", "value").distinct()
-    drawn = checkpointed(_drawn(values.withColumn("attempt", F.lit(0)), key))
+    drawn = stored(_drawn(values.withColumn("attempt", F.lit(0)), key))
     for r in itertools.count(1):
         # Who keeps a replacement that several drew: the least value. Nobody keeps one that is an entity of the corpus.
         first = drawn.groupBy("kind", "new").agg(F.min("value").alias("owner"), F.count("*").alias("c")).filter("c > 1").select("kind", "new", "owner")
         clash = drawn.join(first, ["kind", "new"]).filter(F.col("value") != F.col("owner")).select("kind", "value")
         real = drawn.join(values.withColumnRenamed("value", "new"), ["kind", "new"], "left_semi").select("kind", "value")
-        bad = checkpointed(clash.unionByName(real).distinct())
+        bad = stored(clash.unionByName(real).distinct())
         if bad.isEmpty():
             break
         if r > HOPELESS:
             raise ValueError(f"no distinct replacements left for {sorted(x['kind'] for x in bad.select('kind').distinct().collect())}")
         again = _drawn(bad.withColumn("attempt", F.lit(r)), key)
-        drawn = checkpointed(drawn.join(bad, ["kind", "value"], "left_anti").unionByName(again))
+        drawn = stored(drawn.join(bad, ["kind", "value"], "left_anti").unionByName(again))
     return drawn.filter("attempt > 0").select("kind", "value", "attempt")
 
 
@@ -320,7 +320,7 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
     Texts are scanned twice and never shuffled. The exceptions are counted before they are broadcast; if they are too
     many, each document is joined to its own."""
-    exceptions = checkpointed(redrawn(entities(docs), key))
+    exceptions = stored(redrawn(entities(docs), key))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
