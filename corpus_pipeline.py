@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import lines, neardup, packing, pii, quality
-from gridloom.llm.common import checkpointed, documents
+from gridloom.llm.common import stored, documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -62,5 +62,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = checkpointed(docs)
+            docs = stored(docs)
     return docs
