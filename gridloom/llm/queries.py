@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": rules.ORACLE_OP5, "op6_line_dedup": lines.ORACLE_OP6}
+    return {"op4_licenses": licenses.ORACLE_OP4, "op5_quality_rules": rules.ORACLE_OP5, "op6_line_dedup": lines.ORACLE_OP6}
