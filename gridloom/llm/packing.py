@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text
+from gridloom.llm.common import id_text, stored
 
 CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
@@ -256,7 +256,9 @@ def _items(items: list[int], lengths: list[int], total: int, count: int) -> list
 def packed(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """Adds sequence_id and offset to rows that have doc_id, piece and length.
 
-    Full pieces are sequences of their own and are not shuffled with the rest; nothing but lengths and ids moves."""
+    Full pieces are sequences of their own, numbered below zero by their place in the table, and are not shuffled with the
+    rest; nothing but lengths and ids moves. Shards are dealt by place too, so that repeated rows spread over all of them and
+    share no sequence by chance. parts must be a table that is read in the same order again (a stored one)."""
     cols = [c for c in parts.columns if c not in ("sequence_id", "offset")]
     shards = max(1, -(-parts.filter(F.col("length") < capacity).count() // shard_pieces))
 
@@ -275,15 +277,14 @@ def packed(parts: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD
         return pdf.assign(sequence_id=seq, offset=off)[[*cols, "sequence_id", "offset"]]
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in cols) + ", sequence_id long, offset long"
-    short = parts.filter(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    full = parts.filter(F.col("length") >= capacity).select(*cols, (-1 - F.abs(F.xxhash64("doc_id", "piece", "start")) % F.lit(1 << 62)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    short = parts.filter(F.col("length") < capacity).withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)).cast("int"))
+    full = parts.filter(F.col("length") >= capacity).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return short.groupBy("shard").applyInPandas(run, schema).unionByName(full)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document.
-
-    The pieces are stored (a few numbers each), so that texts are tokenised once."""
-    from gridloom.llm.common import stored
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document; null and empty texts
+    are the end id alone, repeated rows are packed each for itself, an empty table gives no rows.
 
+    The pieces are stored (a few numbers each), so that texts are tokenised once, however long."""
     return packed(stored(pieces(docs)))
