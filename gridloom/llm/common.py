@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,16 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def id_text(docs: DataFrame) -> DataFrame:
-    """Only the two columns the text operators use: other columns, whatever their names, never reach a plan."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def id_text(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """Only the two columns the text operators use: other columns, whatever their names, never reach a plan, but for a struct
+    `carry` of those named."""
+    both = [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")]
+    return docs.select(*both, *([F.struct(*(docs[c] for c in carry)).alias("carry")] if carry else []))
+
+
+def uncarried(df: DataFrame) -> DataFrame:
+    """df with the columns of `carry` in its place."""
+    return df.select(*(c for c in df.columns if c != "carry"), "carry.*") if "carry" in df.columns else df
 
 
 def crc_mod(doc_id: str, m: int):
