@@ -9,24 +9,24 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, stored, id_text
+from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, id_text, stored, uncarried
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _SPACE = " \t\n\x0b\x0c\r"
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, text): copy tells apart rows that repeat a doc_id with another text; equal rows share their decisions."""
-    base = id_text(docs)
-    return base.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+def _rows(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, copy, text, carry): copy tells apart rows that repeat a doc_id with another text; equal rows share their decisions."""
+    return id_text(docs, carry).select("doc_id", F.xxhash64("text").alias("copy"), "text", *["carry"] * bool(carry))
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -130,10 +130,14 @@ def _kept(text: str, dropped: bytes | None) -> tuple[str, int, int]:
     return "\n".join(keep), len(lines), len(lines) - len(keep)
 
 
-def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, digest: bool = False) -> DataFrame:
-    """(doc_id, n_lines, n_dropped, text): every whole text without its repeated lines, the others joined by \\n. With digest,
-    kept_sha256 instead of text. Null and empty texts are one empty line, which has no key; a text may become empty."""
+def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False, digest: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, n_lines, n_dropped, text) for every row: whole texts without their repeated lines, the others joined by \\n.
+    With digest, kept_sha256 instead of text. Null and empty texts are one empty line, which has no key; a text may become
+    empty. Repeated rows repeat, each with the same lines; an empty table gives no rows. Other columns, whatever their names,
+    are left out but for those to carry."""
     maps = bitmaps(repeated_lines(docs, min_docs, min_chars, keep_first))
+    name = "kept_sha256" if digest else "text"
+    rows = _rows(docs, carry).join(maps, ["doc_id", "copy"], "left").select("doc_id", "text", "dropped", *["carry"] * bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,10 +145,11 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
                 part = b.slice(k, 512)
                 done = [_kept(t, m) for t, m in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 last = [hashlib.sha256(t.encode()).hexdigest() if digest else t for t, _, _ in done]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array(last, pa.string())], ["doc_id", "n_lines", "n_dropped", name])
+                cols = [part.column(0), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array(last, pa.string()), *part.columns[3:]]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "n_dropped", name, *["carry"] * (len(cols) - 4)])
 
-    name = "kept_sha256" if digest else "text"
-    return _rows(docs).join(maps, ["doc_id", "copy"], "left").select("doc_id", "text", "dropped").mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, {name} string")
+    schema = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add(name, "string")
+    return uncarried(rows.mapInArrow(run, StructType(schema.fields + rows.schema.fields[3:])))
 
 
 ORACLE_OP6 = r"""

@@ -14,15 +14,18 @@ import hmac
 import ipaddress
 import itertools
 import re
-from collections.abc import Iterator
+import secrets
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from gridloom.llm.common import stored, id_text
+from gridloom.llm.common import id_text, stored, uncarried
 
-KEY = b"gridloom-surrogates-v1"
+#: Where a session names the secret key; without one each call of surrogates() draws its own.
+KEY_SETTING = "spark.gridloom.pii.key"
 #: Redrawn entities are broadcast to the rewriting pass up to so many; beyond, texts are joined to their own entities.
 MAX_BROADCAST = 100_000
 #: Fixed formats have no replacement left once their entities fill half of the format's space; that many redraws tell it.
@@ -79,6 +82,8 @@ SYLLABLES = {
 }
 #: A given name's end after a title that says a gender; others have none.
 ENDS = {("latin", "name_f"): "na", ("latin", "name_m"): "ren", ("cyrillic", "name_f"): "на", ("cyrillic", "name_m"): "рен", ("greek", "name_f"): "να", ("greek", "name_m"): "νος"}
+#: Networks whose addresses stay within them, as base and bits.
+LOCAL_NETS = [(10 << 24, 24), (127 << 24, 24), (172 << 24 | 16 << 16, 20), (192 << 24 | 168 << 16, 16), (169 << 24 | 254 << 16, 16)]
 NAMES = ("name_f", "name_m", "name", "surname")
 _SCRIPTS = [("cyrillic", re.compile("[\u0400-\u052f]")), ("greek", re.compile("[\u0370-\u03ff]")), ("hebrew", re.compile("[\u0590-\u05ff]")), ("arabic", re.compile("[\u0600-\u06ff]"))]
 _PART = re.compile(rf"{_WORD}|[{_CASELESS}]{{2,}}")
@@ -200,25 +205,40 @@ def _charwise(value: str, key: bytes, tweak: str) -> str:
     return "".join(out)
 
 
+def _syllables(x: int, script: str, n: int) -> str:
+    """A word of n syllables, 16 to choose from; x has 128 bits, which serve for 32."""
+    out = ""
+    for k in range(n):
+        out += SYLLABLES[script][x >> 4 * (k % 32) & 15]
+    return out
+
+
+def _iban_check(country: str, body: str) -> str:
+    digits = "".join(str(int(c, 36)) for c in body + country + "00")
+    return f"{98 - int(digits) % 97:02}"
+
+
 def _luhn(body: str) -> str:
     s = sum((d if k % 2 else (2 * d if d < 5 else 2 * d - 9)) for k, d in enumerate(int(c) for c in reversed(body)))
     return str(-s % 10)
 
 
-def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
+def surrogate(kind: str, value: str, attempt: int, key: bytes) -> str:
     """The replacement of a canonical entity; another one for each attempt, and never the entity itself."""
     for n in range(16):
         tweak = f"{kind}/{attempt}/{n}"
         if kind == "email":
-            local = value.split("@")[0]
-            out = f"{_charwise(re.sub('[^a-z0-9]', '', local)[:6] or 'x', key, tweak + value)}{_prf(key, tweak, value) % 36**9:x}@example.org"
+            local, domain = value.rsplit("@", 1)
+            host = _syllables(_prf(key, "domain", domain), "latin", 5 + attempt // 4)
+            out = f"{_charwise(re.sub('[^a-z0-9]', '', local)[:6] or 'x', key, tweak + value)}{_prf(key, tweak, value) % 36**9:x}@{host}.example"
         elif kind == "ip":
             x = int.from_bytes(bytes(map(int, value.split("."))), "big")
-            if x >> 24 == 10 and attempt < 4:
-                x = 10 << 24 | _permuted_bits(x & 0xFFFFFF, 24, key, tweak)
+            net = next(((base, bits) for base, bits in LOCAL_NETS if x >> bits == base >> bits), None)
+            if net and attempt < 4:
+                x = net[0] | _permuted_bits(x & (1 << net[1]) - 1, net[1], key, tweak)
             else:
                 x = _permuted_bits(x, 32, key, tweak)
-                while x >> 24 == 10:
+                while any(x >> bits == base >> bits for base, bits in LOCAL_NETS):
                     x = _permuted_bits(x, 32, key, tweak)
             out = ".".join(map(str, x.to_bytes(4, "big")))
         elif kind == "card":
@@ -232,17 +252,15 @@ def surrogate(kind: str, value: str, attempt: int = 0, key: bytes = KEY) -> str:
             keep = max(0, len(d) - 10) if value.startswith("+") else 0
             out = ("+" if value.startswith("+") else "") + d[:keep] + permuted(d[keep:], key, tweak)
         elif kind == "iban":
-            out = value[:2] + permuted(value[2:4], key, tweak + value) + _charwise(value[4:], key, tweak)
+            body = _charwise(value[4:], key, tweak + value[:2])
+            check = _iban_check(value[:2], body)
+            # Check digits that hold get others that hold; wrong ones stay wrong.
+            out = value[:2] + (check if _iban_check(value[:2], value[4:]) == value[2:4] else f"{(int(check) + 1 + int(value[2:4])) % 97:02}") + body
         elif kind == "ip6":
             out = str(ipaddress.IPv6Address(0x20010DB8 << 96 | _prf(key, tweak, value) >> 32))
         elif kind in NAMES:
             script = next((x for x, own in _SCRIPTS if own.search(value)), "latin")
-            x, out = _prf(key, tweak, value), ""
-            for _ in range(4 + attempt):
-                if not x:
-                    x = _prf(key, tweak, value, out)
-                x, r = divmod(x, 16)
-                out += SYLLABLES[script][r]
+            out = _syllables(_prf(key, tweak, value), script, 4 + attempt)
             out = (out + ENDS.get((script, kind), "")).capitalize()
         elif value[:4] in ("AKIA", "ASIA") or re.match(r"gh[pousr]_|sk-", value):
             out = value[:4] + _charwise(value[4:], key, tweak) if value[:3] != "sk-" else value[:3] + _charwise(value[3:], key, tweak)
@@ -282,7 +300,7 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
     return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, new string")
 
 
-def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
+def redrawn(found: DataFrame, key: bytes) -> DataFrame:
     """(kind, value, attempt) of the distinct entities whose first replacement met another entity or replacement. Drawn until
     none does: each attempt lengthens names, so that it ends; a fixed format whose space is full is an error."""
     values = found.select("kind", "value").distinct()
@@ -302,7 +320,7 @@ def redrawn(found: DataFrame, key: bytes = KEY) -> DataFrame:
     return drawn.filter("attempt > 0").select("kind", "value", "attempt")
 
 
-def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY, memo: dict | None = None) -> tuple[str, int]:
+def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes, memo: dict | None = None) -> tuple[str, int]:
     out, at, found = [], 0, find(text)
     memo = {} if memo is None else memo
     for s, e, kind, value in found:
@@ -315,17 +333,27 @@ def rewrite(text: str, attempts: dict[tuple[str, str], int], key: bytes = KEY, m
     return "".join(out) + text[at:] if found else text, n
 
 
-def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """(doc_id, text, n_entities): every whole text with its entities replaced. Texts without any stay as they are, null ones are empty.
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names, or a new one: then surrogates agree within the call and with no other."""
+    named = spark.conf.get(KEY_SETTING, None)
+    return named.encode() if named else secrets.token_bytes(32)
+
+
+def surrogates(docs: DataFrame, key: bytes | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, text, n_entities) for every row: whole texts with their entities replaced. Texts without any stay as they are,
+    null ones are empty, repeated rows repeat, an empty table gives no rows. Other columns, whatever their names, are left out
+    but for those to carry.
 
     Texts are scanned twice and never shuffled. The exceptions are counted before they are broadcast; if they are too
     many, each document is joined to its own."""
+    key = key or session_key(docs.sparkSession)
     exceptions = stored(redrawn(entities(docs), key))
+    n_carry = int(bool(carry))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict = {}
         for b in batches:
-            own = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            own = b.column(2 + n_carry).to_pylist() if b.num_columns > 2 + n_carry else [None] * b.num_rows
             done = []
             for t, mine in zip(b.column(1).to_pylist(), own):
                 if mine is not None:
@@ -334,12 +362,16 @@ def surrogates(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                     done.append(rewrite(t, shared, key, memo))
                     if len(memo) > 100_000:
                         memo.clear()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64())], ["doc_id", "text", "n_entities"])
+            cols = [b.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n for _, n in done], pa.int64()), *b.columns[2 : 2 + n_carry]]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text", "n_entities", *["carry"] * n_carry])
 
-    schema = "doc_id long, text string, n_entities long"
+    rows = id_text(docs, carry)
+    schema = StructType(StructType().add("doc_id", "long").add("text", "string").add("n_entities", "long").fields + rows.schema.fields[2:])
     if exceptions.count() <= MAX_BROADCAST:
         shared = {(r["kind"], r["value"]): r["attempt"] for r in exceptions.collect()}
-        return id_text(docs).mapInArrow(run, schema)
-    shared = {}
-    own = entities(docs).join(exceptions, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("own"))
-    return id_text(docs).join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<kind:string,value:string,attempt:int>>"))).mapInArrow(run, schema)
+    else:
+        shared = {}
+        own = entities(docs).join(exceptions, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("own"))
+        rows = rows.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<kind:string,value:string,attempt:int>>")))
+        rows = rows.select("doc_id", "text", *["carry"] * n_carry, "own")
+    return uncarried(rows.mapInArrow(run, schema))
