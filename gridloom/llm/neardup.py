@@ -31,8 +31,8 @@ LISTS_MISS, ESTIMATE_MISS = 1e-9, 1e-8
 LIST, NEAR = 32, 2
 #: Classes and shingles of a block of a long list: they bound a task's memory.
 CELL_ROWS, CELL_SHINGLES = 2048, 1 << 20
-#: Lists over this share of all entries are dealt over several tasks; there are at most 1 / HOT_SHARE of them.
-HOT_SHARE, HOT_PARTS = 1e-4, 64
+#: Lists over this share of all entries, and over HOT_LEAST, are dealt over several tasks; there are at most 1 / HOT_SHARE of them.
+HOT_SHARE, HOT_LEAST, HOT_PARTS = 1e-4, 4096, 64
 #: Pairs of one class that meet in one task; a class with more is copied to several.
 PAIRS = 1000
 _MAX = np.uint64(2**64 - 1)
@@ -134,7 +134,7 @@ def long_lists(entries: DataFrame) -> DataFrame:
 def candidates(entries: DataFrame, long: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(a, b, overlap), a < b: pairs of classes that meet in inverted lists, and in how many; in a long one, those that meet
     its pivot or are nearby by size."""
-    cut = max(4096, int(entries.count() * HOT_SHARE))
+    cut = max(HOT_LEAST, int(entries.count() * HOT_SHARE))
     hot = entries.join(F.broadcast(long.filter(F.col("c") > cut).select("key")), "key").groupBy("key").agg(F.min(F.struct("id", "n")).alias("p"))
     hot = hot.select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
     dealt = entries.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.floor(F.log(1.25, F.col("n").cast("double"))) * HOT_PARTS + F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).cast("int"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from gridloom.llm import bpe, fingerprints, graph, langid, licenses, lines, neardup, packing, pii, quality, rules
 from gridloom.llm.common import lowest
 
+KEY = b"only for tests"
 WORDS = "the of and to in is that for it was on are as with his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
 
 
@@ -166,6 +167,25 @@ def test_licenses(spark, docs, rows, none):
     out = collect(licenses.inherited(files, licenses.scanned(files)))
     assert [out[i]["license"] for i in range(1, 7)] == ["MIT", "MIT", "CC-BY-NC-4.0", "CC-BY-NC-4.0", None, None]
     assert licenses.license_rows(none).count() == 0
+    gnu = """/* This program is free software: you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License as published
+ * by the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */
+int main() { return 0; }"""
+    heads = ["// SPDX-License-Identifier: Apache-2.0\nimport x", gnu, "a plain text of the people and the water", "* SPDX-License-Identifier: GPL-2.0-only", text(random.Random(1), 3000) + "\nReleased under the MIT License."]
+    head = spark.createDataFrame([(i, t) for i, t in enumerate(heads)], "doc_id long, text string")
+    assert {i: r["license"] for i, r in collect(licenses.scanned(head)).items()} == {0: "Apache-2.0", 1: "GPL-3.0", 3: "GPL-2.0-only", 4: "MIT"}
+    ties = spark.createDataFrame([(1, "Licensed under CC BY 4.0", "a/B", True), (2, "Licensed under the Apache License, Version 2.0", "a/A", True), (3, "x", "a/c.txt", False)], "doc_id long, text string, path string, is_license boolean")
+    assert collect(licenses.inherited(ties, licenses.scanned(ties)))[3]["license"] == "Apache-2.0"
+
+
+def test_licenses_agree_with_sql(spark, docs):
+    duckdb = pytest.importorskip("duckdb")
+    documents = docs.select("doc_id", "text", "lang", "source").toPandas()  # noqa: F841
+    want = {r[0]: r for r in duckdb.sql(licenses.ORACLE_OP4).fetchall()}
+    got = collect(licenses.license_rows(docs))
+    assert {i: (r["path"], r["license"], r["origin"]) for i, r in got.items()} == {i: (r[1], r[2], r[4]) for i, r in want.items()}
+    assert all(abs((got[i]["similarity"] or 0) - (want[i][3] or 0)) < 1e-5 for i in got)
 
 
 def test_rules(docs, rows, none):
@@ -227,16 +247,16 @@ def test_pii(docs, rows, none, spark):
     assert a[0] == b[: len(a[0])] and a[0] != a[1]
     assert re.fullmatch(r" \+1 \(\d{3}\) \d{3}-\d{4}", a[3])
     assert pii.surrogates(none).count() == 0
-    new = {pii.surrogate("phone", f"+1386555{k:04}") for k in range(2000)}
+    new = {pii.surrogate("phone", f"+1386555{k:04}", 0, KEY) for k in range(2000)}
     assert len(new) == 2000
 
 
 def test_pii_redraws_collisions(spark, monkeypatch):
     plain = pii.surrogate
-    monkeypatch.setattr(pii, "surrogate", lambda kind, v, attempt=0, key=pii.KEY: "same" if attempt == 0 else plain(kind, v, attempt, key))
+    monkeypatch.setattr(pii, "surrogate", lambda kind, v, attempt, key: "same" if attempt == 0 else plain(kind, v, attempt, key))
     found = spark.createDataFrame([("ssn", f"123-45-{k:04}") for k in range(30)], "kind string, value string")
     monkeypatch.setattr(pii, "_drawn", lambda rows, key: spark.createDataFrame([(r["kind"], r["value"], r["attempt"], pii.surrogate(r["kind"], r["value"], r["attempt"], key)) for r in rows.collect()], "kind string, value string, attempt int, new string"))
-    assert pii.redrawn(found).count() == 29
+    assert pii.redrawn(found, KEY).count() == 29
 
 
 def test_bpe_matches_library(docs, rows, none):

@@ -5,6 +5,8 @@ import random
 
 from gridloom.llm import langid, packing, pii
 
+KEY = b"only for tests"
+
 
 def _gains(bins, lengths, capacity):
     """Every change between two underfull bins that the local search allows, found by brute force."""
@@ -54,24 +56,24 @@ def test_pii_draws_until_none_collides(spark, monkeypatch):
     rng = random.Random(2)
     names = sorted({"".join(rng.choice("abcdefghij") for _ in range(6)).capitalize() for _ in range(3000)})
     found = spark.createDataFrame([("name_f", n) for n in names], "kind string, value string")
-    tries = {(r["kind"], r["value"]): r["attempt"] for r in pii.redrawn(found).collect()}
-    new = {pii.surrogate("name_f", n, tries.get(("name_f", n), 0)) for n in names}
+    tries = {(r["kind"], r["value"]): r["attempt"] for r in pii.redrawn(found, KEY).collect()}
+    new = {pii.surrogate("name_f", n, tries.get(("name_f", n), 0), KEY) for n in names}
     assert len(new) == len(names) and not new & set(names)
 
 
 def test_pii_addresses_are_permuted():
     ips = {f"{a}.{b}.{c}.{d}" for a in (9, 10, 198) for b in range(7) for c in range(40) for d in range(40)}
-    new = {pii.surrogate("ip", x) for x in ips}
+    new = {pii.surrogate("ip", x, 0, KEY) for x in ips}
     assert len(new) == len(ips) and all(x.count(".") == 3 and max(map(int, x.split("."))) < 256 for x in new)
     assert sum(x.startswith("10.") for x in new) == len(ips) // 3
 
 
 def test_pii_later_mentions_agree():
     def swap(t):
-        return pii.rewrite(t, {})[0]
+        return pii.rewrite(t, {}, KEY)[0]
 
     out = swap("Mr John Smith came. Smith said hello to\nJohn Smith; Mr Smith's dog, SMITH and Smithson, Mrs Jane Smith-Jones.")
-    first, last = (pii.surrogate(*x) for x in (("name_m", "John"), ("surname", "Smith")))
+    first, last = (pii.surrogate(*x, 0, KEY) for x in (("name_m", "John"), ("surname", "Smith")))
     start = f"Mr {first} {last} came. {last} said hello to\n{first} {last}; Mr {last}'s dog, {last.upper()} and Smithson, Mrs "
     assert out.startswith(start) and "Jane" not in out and "Jones" not in out
     assert swap("Mr Smith") == f"Mr {last}"
