@@ -1,66 +1,5 @@
-"""The corpus pipeline: quality, lines, near duplicates, personal data, packing. Counts as part of gridloom.llm."""
+"""The corpus pipeline of gridloom.llm, at the place where it is looked for."""
 
-from __future__ import annotations
+from gridloom.llm.pipeline import COLUMNS, ORACLE_SQL, STAGES, run
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from gridloom.llm import lines, neardup, packing, pii, quality
-from gridloom.llm.common import stored, documents
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the texts of (doc_id, text), n_chars following them."""
-    rest = docs.select("doc_id", "lang", "source")
-    return texts.select("doc_id", "text").join(rest, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop what the classifier of operator 7, learned from this corpus and its labels, scores under 0.5."""
-    scores = quality.score(docs, quality.fit(docs, documents(spark, sf_dir, "labels")))
-    return docs.join(scores.filter("score >= 0.5").select("doc_id"), "doc_id", "left_semi").select(COLUMNS)
-
-
-def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of lines found in at least ten documents keep the first, by document and position; a document left without any text stays, empty."""
-    return _with_text(docs, lines.deduplicated(docs, keep_first=True))
-
-
-def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the least id of each group of near duplicates (five words, 0.8)."""
-    kept = neardup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(COLUMNS)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by surrogates."""
-    return _with_text(docs, pii.surrogates(docs))
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 4096 tokens."""
-    return packing.pack_documents(docs)
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_classifier", quality_stage),
-    ("line_dedup", line_stage),
-    ("near_duplicates", near_duplicate_stage),
-    ("pii_surrogates", pii_stage),
-    ("best_fit_packing", packing_stage),
-]
-#: The stages' models and packing have no SQL form; tests compare them with brute force.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+__all__ = ["COLUMNS", "ORACLE_SQL", "STAGES", "run"]
