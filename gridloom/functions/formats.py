@@ -5,8 +5,9 @@ from __future__ import annotations
 import operator
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The marks of a format code, tried in this order.
@@ -242,3 +243,21 @@ def format_colour(value: Column, code: str) -> Column:
     for when, section, *_ in _choice(value.cast("double"), sections(code)):
         out = out.when(when, F.lit(section.colour).cast("string"))
     return out
+
+
+#: Codes that one expression compiles.
+CODES = 100
+
+
+def format_rows(df: DataFrame, value: str, code: str, out: str, date1904: bool = False) -> DataFrame:
+    """df with `out`: each number under its own row's code, null as General. Codes are few beside rows: the distinct ones are read
+    and compiled, so many at a time."""
+    codes = sorted({r[0] for r in df.select(F.coalesce(F.col(code), F.lit("General"))).distinct().collect()})
+    own, parts = F.coalesce(F.col(code), F.lit("General")), []
+    for k in range(0, max(1, len(codes)), CODES):
+        some = codes[k : k + CODES]
+        text = F.lit("")
+        for c in reversed(some):
+            text = F.when(own == c, format_value(F.col(value), c, date1904)).otherwise(text)
+        parts.append((df.filter(own.isin(some)) if len(codes) > CODES else df).withColumn(out, text))
+    return reduce(DataFrame.unionByName, parts)

@@ -13,8 +13,12 @@ def js_number(text: Column, blank_is_zero: bool = True) -> Column:
     return F.when(plain, t.cast("double")).when(t == "", F.lit(0.0) if blank_is_zero else F.lit(None).cast("double"))
 
 
+#: Fixed value: what counts as a number in delimited text.
+NUMERIC = r"^[-+]?[\d,]*\.?\d+(?:[eE][-+]?\d+)?$"
+
+
 def is_numeric(text: Column) -> Column:
-    return text.rlike(r"^[-+]?[\d,]*\.?\d+(?:[eE][-+]?\d+)?$")
+    return text.rlike(NUMERIC)
 
 
 def cell_number(text: Column) -> Column:
@@ -23,14 +27,15 @@ def cell_number(text: Column) -> Column:
 
 
 def column_letters(n: Column) -> Column:
-    """1 -> A, 26 -> Z, 27 -> AA; up to four letters."""
+    """1 -> A, 26 -> Z, 27 -> AA; seven letters hold any number under 8 billion, beyond it is NULL."""
     n = n.cast("long")
-    out, rest = F.lit(""), n
-    for _ in range(4):
-        digit = F.pmod(rest - 1, F.lit(26))
-        out = F.when(rest > 0, F.concat(F.char(digit + 65), out)).otherwise(out)
-        rest = F.when(rest > 0, F.floor((rest - 1) / 26)).otherwise(F.lit(0)).cast("long")
-    return out
+
+    def step(a: Column, _: Column) -> Column:
+        rest = a["rest"] - 1
+        return F.struct(F.when(a["rest"] > 0, F.concat(F.char(F.pmod(rest, F.lit(26)) + 65), a["out"])).otherwise(a["out"]).alias("out"), F.when(a["rest"] > 0, F.floor(rest / 26)).otherwise(0).cast("long").alias("rest"))
+
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.struct(F.lit("").alias("out"), n.alias("rest")), step)
+    return F.when(n < 26**7, end["out"])
 
 
 def column_number(letters: Column) -> Column:
@@ -53,9 +58,9 @@ def roman(n: Column) -> Column:
 
 
 def counter(value: Column, style: Column) -> Column:
-    """A list counter in its declared format; other formats print decimals."""
+    """A list counter in its declared format; bullets and `none` print nothing, other formats decimals."""
     v = F.greatest(F.lit(1), value)
-    return F.when(style == "upperLetter", column_letters(v)).when(style == "lowerLetter", F.lower(column_letters(v))).when(style == "upperRoman", roman(v)).when(style == "lowerRoman", F.lower(roman(v))).when((style == "decimalZero") & (value < 10), F.concat(F.lit("0"), value.cast("string"))).otherwise(value.cast("string"))
+    return F.when(style.isin("bullet", "none"), F.lit("")).when(style == "upperLetter", column_letters(v)).when(style == "lowerLetter", F.lower(column_letters(v))).when(style == "upperRoman", roman(v)).when(style == "lowerRoman", F.lower(roman(v))).when((style == "decimalZero") & (value < 10), F.concat(F.lit("0"), value.cast("string"))).otherwise(value.cast("string"))
 
 
 def collapse_space(text: Column) -> Column:
@@ -86,10 +91,63 @@ def extension(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, r"\.([^./]*)$", 1))
 
 
+def stem(name: Column) -> Column:
+    """A file's name without its folder and extension."""
+    own = F.element_at(F.split(name, "/"), -1)
+    return F.when(own.rlike(r"^.+\.[^.]*$"), F.regexp_replace(own, r"\.[^.]*$", "")).otherwise(own)
+
+
+def cell_range(ref: Column) -> Column:
+    """struct(sheet, r1, c1, r2, c2) of `'My sheet'!$A$1:B2`: the sheet before the last `!`, its quotes undone; corners in order."""
+    at = F.length(ref) - F.locate("!", F.reverse(ref))
+    has = ref.contains("!")
+    raw = F.trim(F.when(has, F.substring(ref, F.lit(1), at)))
+    sheet = F.when(raw.rlike("^'.*'$"), F.replace(F.substring(raw, F.lit(2), F.length(raw) - 2), F.lit("''"), F.lit("'"))).otherwise(raw)
+    area = F.when(has, F.substring(ref, at + 2, F.length(ref))).otherwise(ref)
+    a, b = cell_ref(F.split(area, ":")[0]), cell_ref(F.element_at(F.split(area, ":"), -1))
+    return F.when(a.isNotNull() & b.isNotNull(), F.struct(sheet.alias("sheet"), F.least(a["r"], b["r"]).alias("r1"), F.least(a["c"], b["c"]).alias("c1"), F.greatest(a["r"], b["r"]).alias("r2"), F.greatest(a["c"], b["c"]).alias("c2")))
+
+
+def count_label(n: Column, noun: str) -> Column:
+    """`1,234 words`, `1 word`."""
+    return F.concat(F.format_number(n, 0), F.when(n == 1, f" {noun}").otherwise(f" {noun}s"))
+
+
+def iso_shown(text: Column) -> Column:
+    """An ISO time as its date, and hours and minutes if it has them; other text as it is."""
+    day, time = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2})", 1), F.regexp_extract(text, r"^\d{4}-\d{2}-\d{2}T?(\d{2}:\d{2})", 1)
+    return F.when(day == "", text).when(time == "", day).otherwise(F.concat(day, F.lit(" "), time))
+
+
+def field_shown(instruction: Column, page: Column, pages: Column, slide: Column) -> Column:
+    """What a field shows: the page, the number of pages, a slide's number from 1; NULL for any other."""
+    t = F.upper(instruction)
+    return F.when(t.rlike("NUMPAGES|SECTIONPAGES"), pages).when(t.rlike(r"\bPAGE\b"), page).when(t == "SLIDENUM", slide + 1)
+
+
+def part_checksum(content: Column) -> Column:
+    """CRC-32 of bytes, as archives and PNG chunks carry it."""
+    return F.crc32(content)
+
+
+def sampled_hash(content: Column, samples: int = 4096) -> Column:
+    """32-bit FNV-1a over about `samples` evenly spaced bytes, seeded with the length; an unsigned number."""
+    n = F.octet_length(content)
+    step = F.greatest(F.lit(1), F.floor(n / samples)).cast("int")
+    places = F.when(n == 0, F.array().cast("array<int>")).otherwise(F.sequence(F.lit(0), n - 1, step))
+    byte = lambda i: F.conv(F.hex(F.substring(content, i + 1, F.lit(1))), 16, 10).cast("long")
+    low = lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))
+    # The product of two 32-bit numbers goes by halves, since it may pass 63 bits.
+    times = lambda x: low(low(F.shiftright(x, 16) * 16777619) * 65536 + x.bitwiseAND(F.lit(0xFFFF)) * 16777619)
+    return F.aggregate(places, low(F.lit(2166136261).bitwiseXOR(n.cast("long"))), lambda h, i: times(h.bitwiseXOR(byte(i))))
+
+
 def natural_key(text: Column) -> Column:
-    """Sort key: numeric text first, by value; then text without case, digit runs by value (padded to 20 digits)."""
+    """Sort key: numeric text first, by value; then text without case, digit runs by value (without leading zeros, after their length)."""
     num = F.when(text.rlike(r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?\s*$"), F.trim(text).cast("double"))
-    padded = F.regexp_replace(F.regexp_replace(F.lower(text), r"(\d+)", "00000000000000000000$1"), r"0*(\d{20})(?!\d)", "$1")
+    # A run of digits is led by its length as a character, so that runs of any length compare by value.
+    runs = F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"(\d+|\D+)"), 1), lambda x: F.when(x.rlike(r"^\d"), F.concat(F.lit("0"), F.char(F.length(F.regexp_replace(x, r"^0+(?=\d)", "")) + 32), F.regexp_replace(x, r"^0+(?=\d)", ""))).otherwise(x))
+    padded = F.array_join(runs, "")
     return F.struct(F.when(num.isNull(), 1).otherwise(0).alias("is_text"), F.coalesce(num, F.lit(0.0)).alias("num"), padded.alias("txt"))
 
 

@@ -26,13 +26,13 @@ def query(sql: str | None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from gridloom.plans import more  # noqa: F401
+    from gridloom.plans import files, more  # noqa: F401
 
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from gridloom.plans import more  # noqa: F401
+    from gridloom.plans import files, more  # noqa: F401
 
     return dict(_SQL)
 
@@ -151,39 +151,12 @@ def a6_word_counts(spark, d):
     return p.groupBy("doc_id").agg(F.sum(S.word_count(F.col("para"))).alias("words"), F.sum(F.length("para")).cast("long").alias("chars"), F.count_if(F.col("para") != "").alias("paragraphs"))
 
 
-@query("SELECT source, count(*) AS documents, sum(n_chars)::BIGINT AS chars, count(DISTINCT lang) AS langs, min(n_chars) AS shortest, max(n_chars) AS longest FROM documents GROUP BY source")
-def a8_document_facts(spark, d):
-    return t(spark, d, "documents").groupBy("source").agg(F.count("*").alias("documents"), F.sum("n_chars").alias("chars"), F.countDistinct("lang").alias("langs"), F.min("n_chars").alias("shortest"), F.max("n_chars").alias("longest"))
-
-
-@query("SELECT conv_id, count(*) AS slides, count(*) FILTER (role = 'user') AS from_user, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY conv_id")
-def a9_deck_facts(spark, d):
-    return t(spark, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("slides"), F.count_if(F.col("role") == "user").alias("from_user"), F.sum(F.length("text")).cast("long").alias("chars"))
-
-
-@query("SELECT conv_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn), '[ \\t\\r\\n\\x0b\\x0c]+', ' ', 'g'), ' ') AS deck_text FROM conversations GROUP BY conv_id")
-def a11_slide_text(spark, d):
-    g = t(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("a"))
-    return g.select("conv_id", F.btrim(S.collapse_space(F.array_join(F.transform("a", lambda x: x["text"]), " "))).alias("deck_text"))
-
-
 @query("SELECT source, lang AS language FROM (SELECT source, lang, row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, min(doc_id)) AS k FROM documents GROUP BY source, lang) WHERE k = 1")
 def a13_language_mode(spark, d):
     g = t(spark, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     return g.groupBy("source").agg(F.max_by("lang", F.struct("n", -F.col("first"))).alias("language"))
 
 
-@query("SELECT event_type, min(event_id) AS first_seen, count(*) AS n FROM events GROUP BY event_type")
-def a14_distinct_in_order(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.min("event_id").alias("first_seen"), F.count("*").alias("n")).orderBy("first_seen")
-
-
-@query("SELECT CASE WHEN regexp_matches(url, '\\?') THEN 'query' WHEN regexp_matches(url, '#') THEN 'anchor' ELSE 'plain' END AS kind, count(*) AS n, sum(length(html))::BIGINT AS chars FROM pages GROUP BY 1")
-def a16_part_histogram(spark, d):
-    k = F.when(F.col("url").contains("?"), "query").when(F.col("url").contains("#"), "anchor").otherwise("plain")
-    return t(spark, d, "pages").groupBy(k.alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("html")).cast("long").alias("chars"))
-
-
 @query("SELECT min(l_orderkey) AS r1, 1::BIGINT AS c1, greatest(max(l_orderkey), least(1048576, max(l_orderkey) + 200)) AS r2, greatest(max(l_linenumber), least(60, max(l_linenumber) + 50))::BIGINT AS c2 FROM lineitem")
 def a19_extent(spark, d):
     cells = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("r"), F.col("l_linenumber").cast("long").alias("c"))

@@ -16,12 +16,6 @@ def j1_dictionary_lookup(spark, d):
     return t(spark, d, "customer").join(t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", F.coalesce("n_name", F.lit("")).alias("nation"))
 
 
-@query("SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
-def j2_star_lookup(spark, d):
-    s, n, r = (t(spark, d, x) for x in ("supplier", "nation", "region"))
-    return s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("s_suppkey", "n_name", "r_name")
-
-
 @query("SELECT p_partkey, CASE WHEN p_size BETWEEN 20 AND 30 THEN 'b' WHEN p_size BETWEEN 1 AND 25 THEN 'a' END AS style FROM part")
 def j3_interval_lookup(spark, d):
     defs = spark.createDataFrame([(1, 25, 0, "a"), (20, 30, 1, "b")], "min int, max int, ord int, style string")
@@ -34,17 +28,6 @@ def j4_merge_cover(spark, d):
     return G.covered(t(spark, d, "part").select(F.col("p_partkey").alias("r"), F.col("p_size").alias("c")), rects)
 
 
-@query("SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title FROM pages")
-def t16_leaf_tags(spark, d):
-    return t(spark, d, "pages").select("page_id", F.trim(F.regexp_extract("html", r"<(title)>([^<]*)</\1>", 2)).alias("title"))
-
-
-@query("WITH RECURSIVE c(n, root, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation WHERE n_nationkey < 3 UNION ALL SELECT x.n_nationkey, c.root, c.depth + 1 FROM nation x JOIN c ON (x.n_nationkey - 1) // 2 = c.n AND x.n_nationkey >= 3 WHERE c.depth < 30) SELECT n::INTEGER AS style, root::INTEGER AS root, depth::INTEGER AS depth FROM c")
-def j10_style_chain(spark, d):
-    t(spark, d, "nation").createOrReplaceTempView("gridloom_styles")
-    return spark.sql("WITH RECURSIVE c(n, root, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM gridloom_styles WHERE n_nationkey < 3 UNION ALL SELECT x.n_nationkey, c.root, c.depth + 1 FROM gridloom_styles x JOIN c ON (x.n_nationkey - 1) DIV 2 = c.n AND x.n_nationkey >= 3 WHERE c.depth < 30) SELECT CAST(n AS INT) AS style, CAST(root AS INT) AS root, CAST(depth AS INT) AS depth FROM c")
-
-
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)")
 def j15_anti_join(spark, d):
     bad = t(spark, d, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
@@ -119,11 +102,6 @@ def o1_natural_order(spark, d):
     return b.select("p_name", F.row_number().over(Window.orderBy(S.natural_key(F.col("p_name")), "p_name")).alias("place"))
 
 
-@query("SELECT conv_id, min(turn) AS first_user_turn FROM conversations WHERE role = 'user' GROUP BY conv_id")
-def o7_first_titles(spark, d):
-    return t(spark, d, "conversations").filter("role = 'user'").groupBy("conv_id").agg(F.min("turn").alias("first_user_turn"))
-
-
 @query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN format('(${:,.2f})', -c_acctbal) ELSE format('${:,.2f} ', c_acctbal) END AS shown, CASE WHEN c_acctbal < 0 THEN 'red' END AS colour FROM customer")
 def n3_format_sections(spark, d):
     code = "$#,##0.00_);[Red]($#,##0.00)"
