@@ -67,12 +67,17 @@ def _text(parts: list) -> Column:
 
 def general(x: Column) -> Column:
     """Whole numbers as they are, else eleven significant digits, or six and an exponent if very large or small."""
-    a = F.abs(x)
-    whole = (x == F.floor(x)) & (a < 1e15)
-    far = F.format_string("%.5e", x)
-    far = F.regexp_replace(F.regexp_replace(F.regexp_replace(far, r"\.?0+e", "e"), r"e([+-])0(\d)$", "e$1$2"), "e", "E")
-    near = F.format_string("%.11g", x)
-    return F.when(whole, x.cast("long").cast("string")).when((a >= 1e11) | (a < 1e-4), far).otherwise(F.regexp_replace(near, r"\.?0+$", ""))
+    a, near = F.abs(x), F.format_string("%.11g", x)
+    trimmed = lambda t: F.when(t.contains("."), F.rtrim(F.rtrim(t, F.lit("0")), F.lit("."))).otherwise(t)
+    parts = F.split(F.format_string("%.5e", x), "e")
+    power = parts[1].cast("int")
+    far = F.concat(trimmed(parts[0]), F.when(power < 0, "E-").otherwise("E+"), F.abs(power).cast("string"))
+    return F.when((x == F.floor(x)) & (a < 1e15), x.cast("long").cast("string")).when((a >= 1e11) | (a < 1e-4), far).otherwise(trimmed(near))
+
+
+def _bound(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def fixed(a: Column, decimals: int) -> Column:
@@ -110,10 +115,14 @@ def _number(section: Section, a: Column) -> Column:
     shown = fixed(a, decimals)
     if "," not in before.rstrip(","):
         shown = F.translate(shown, ",", "")
-    whole, rest = F.substring_index(shown, ".", 1), F.substring_index(shown, ".", -1)
     least = before.count("0")
-    whole = F.when(whole == "0", "").otherwise(whole) if not least else F.lpad(whole, F.greatest(F.lit(least), F.length(whole)), F.lit("0"))
-    number = F.concat(whole, F.lit("."), rest) if decimals else whole
+
+    def number_of(shown: Column) -> Column:
+        whole = F.substring_index(shown, ".", 1)
+        whole = F.when(whole == "0", "").otherwise(whole) if not least else F.lpad(whole, F.greatest(F.lit(least), F.length(whole)), F.lit("0")) if least > 1 else whole
+        return F.concat(whole, F.lit("."), F.substring_index(shown, ".", -1)) if decimals else whole
+
+    number = shown if least == 1 else _bound(shown, number_of)
     out: list = []
     for k, (kind, s) in enumerate(section.marks):
         if k == first:

@@ -30,16 +30,69 @@ def with_stats(df: DataFrame, v: str, part: Sequence[str] = ()) -> DataFrame:
     return df.crossJoin(s) if not part else df.join(s, list(part))
 
 
+#: Values that one task sorts to find the one of a given rank.
+SORTED = 1_000_000
+
+
+def ranked_value(num: DataFrame, k: int, n: int) -> float | None:
+    """The k-th least of the n numbers v, exactly. A sketch of quantiles narrows the range, counts keep the rank exact, and only
+    values of a narrow range are sorted, so that no task holds a share of the table."""
+    if not n:
+        return None
+    k = min(max(k, 1), n)
+    while n > SORTED:
+        share, near = k / n, 1e-3
+        lo, hi = num.agg(F.percentile_approx("v", [max(0.0, share - near), min(1.0, share + near)], 10_000)).first()[0]
+        under, inside = num.agg(F.count_if(F.col("v") < lo), F.count_if(F.col("v").between(lo, hi))).first()
+        if lo == hi and under < k <= under + inside:
+            return lo
+        if under >= k:
+            num, n = num.filter(F.col("v") < lo), under
+        elif k > under + inside:
+            num, k, n = num.filter(F.col("v") > hi), k - under - inside, n - under - inside
+        elif inside == n:
+            return _by_counts(num, k)
+        else:
+            num, k, n = num.filter(F.col("v").between(lo, hi)), k - under, inside
+    low = k <= n - k
+    got = num.orderBy(F.col("v").asc() if low else F.col("v").desc()).limit(k if low else n - k + 1)
+    return got.agg((F.max if low else F.min)("v")).first()[0]
+
+
+def _by_counts(num: DataFrame, k: int) -> float:
+    """The k-th least where a few values make up the range: counted first, then summed in order of value."""
+    c = num.groupBy("v").agg(F.count("*").alias("c"))
+    run = c.withColumn("upto", F.sum("c").over(Window.orderBy("v")))
+    return run.filter(F.col("upto") >= k).agg(F.min("v")).first()[0]
+
+
+def numbers(df: DataFrame, v: str) -> DataFrame:
+    return df.filter(F.col(v).isNotNull()).select(F.col(v).cast("double").alias("v"))
+
+
 def boundary(df: DataFrame, v: str, rank: int = 10, percent: bool = False, bottom: bool = False) -> DataFrame:
     """One row, `edge`: the value of the last cell within the top (or bottom) `rank` cells, or percent of cells.
 
-    The k-th value is a take-ordered, so no partition holds the range unless k is a share of it."""
-    num = df.filter(F.col(v).isNotNull()).select(F.col(v).cast("double").alias("v"))
+    A number of cells is a take-ordered within the plan; a share of them is found by rank first."""
+    num = numbers(df, v)
+    if not percent:
+        top = num.orderBy(F.col("v").asc() if bottom else F.col("v").desc()).limit(max(rank, 1))
+        return top.agg((F.max if bottom else F.min)("v").alias("edge"))
     n = num.count()
-    k = min(n, max(1, -(-rank * n // 100))) if percent else min(n, rank)
-    o = F.col("v").asc() if bottom else F.col("v").desc()
-    top = num.orderBy(o).limit(max(k, 1))
-    return top.agg((F.max if bottom else F.min)("v").alias("edge"))
+    k = max(1, -(-rank * n // 100))
+    return df.sparkSession.createDataFrame([(ranked_value(num, k if bottom else n - k + 1, n),)], "edge double")
+
+
+def percentile(df: DataFrame, v: str, share: float) -> float | None:
+    """The value of nearest rank: that at round(share * (n - 1)), halves up, of the sorted numbers."""
+    num = numbers(df, v)
+    n = num.count()
+    return ranked_value(num, int(share * (n - 1) + 0.5) + 1, n)
+
+
+def duplicates(df: DataFrame, v: str) -> DataFrame:
+    """Adds `n`, how many rows have the value: counted before anything is joined, so that a common value is no one task's."""
+    return df.join(df.groupBy(v).agg(F.count("*").alias("n")), v)
 
 
 def top_n(df: DataFrame, v: str, rank: int = 10, percent: bool = False, bottom: bool = False) -> DataFrame:
@@ -48,15 +101,14 @@ def top_n(df: DataFrame, v: str, rank: int = 10, percent: bool = False, bottom:
     return d.withColumn("hit", F.coalesce(F.col(v) <= F.col("edge") if bottom else F.col(v) >= F.col("edge"), F.lit(False))).drop("edge")
 
 
-def threshold(kind: str, value: float | None, low: Column, high: Column, ordered: Column | None = None) -> Column:
-    """A threshold of a scale, bar or icon set. `ordered` is the sorted array of values, for percentiles only."""
+def threshold(kind: str, value: float | None, low: Column, high: Column, ranked: Column | None = None) -> Column:
+    """A threshold of a scale, bar or icon set. `ranked` is percentile() of value / 100, for that kind only."""
     if kind == "num":
         return F.lit(float(value))
     if kind == "percent":
         return low + (high - low) * (value / 100)
     if kind == "percentile":
-        at = F.floor(F.lit(value / 100) * (F.size(ordered) - 1) + 0.5).cast("int") + 1
-        return F.element_at(ordered, at)
+        return ranked
     return high if kind == "max" else low
 
 
@@ -64,9 +116,15 @@ def bar(v: Column, low: Column, high: Column) -> Column:
     return F.when(high <= low, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v - low) / (high - low))))
 
 
-def scale(v: Column, low: Column, high: Column, colours: Sequence[str]) -> Column:
-    """The colour at v between evenly spaced stops; a flat range has the last."""
+def scale(v: Column, low: Column, high: Column, colours: Sequence[str], stops: Sequence[Column] | None = None) -> Column:
+    """The colour at v between evenly spaced stops, or between those given, one a colour; a flat range has the last."""
     parts = len(colours) - 1
+    if stops is not None:
+        out = F.lit(colours[-1])
+        for k in reversed(range(parts)):
+            a, b = stops[k], stops[k + 1]
+            out = F.when(v < b, mix_colours(F.lit(colours[k]), F.lit(colours[k + 1]), F.when(b > a, F.greatest(F.lit(0.0), (v - a) / (b - a))).otherwise(1.0))).otherwise(out)
+        return F.when(stops[-1] <= stops[0], F.lit(colours[-1])).otherwise(out)
     t = bar(v, low, high) * parts
     i = F.least(F.floor(t), F.lit(parts - 1)).cast("int")
     a, b = F.array(*(F.lit(c) for c in colours[:-1])), F.array(*(F.lit(c) for c in colours[1:]))

@@ -16,10 +16,20 @@ def in_values(col: Column, values: Sequence[str] | None) -> Column:
     return F.lit(True) if values is None else col.isin(list(values)) if values else F.lit(False)
 
 
-def custom(col: Column, tests: Sequence[tuple[str, str]], both: bool = True, blank_is_zero: bool = True) -> Column:
-    """Custom filter: > >= < <= by number, equal and notEqual by text; other operators pass; no tests pass."""
-    num, parts = js_number(col, blank_is_zero), []
+def custom(col: Column, tests: Sequence[tuple[str, str]], both: bool = True, blank_is_zero: bool = True, numeric: bool = False) -> Column:
+    """Custom filter: > >= < <= by number, equal and notEqual by text; other operators pass; no tests pass.
+
+    With numeric, col is a number and compared as one, so that the filter reaches the scan; a test that is no number rejects."""
+    num, parts = None if numeric else js_number(col, blank_is_zero), []
     for op, v in tests:
+        if numeric:
+            try:
+                want = int(v) if v.strip().lstrip("+-").isdigit() else float(v)
+            except ValueError:
+                want = None
+            cmp = {"greaterThan": col > want, "greaterThanOrEqual": col >= want, "lessThan": col < want, "lessThanOrEqual": col <= want, "equal": col == want, "notEqual": col != want}
+            parts.append((cmp[op] if want is not None else F.lit(op == "notEqual")) if op in cmp else F.lit(True))
+            continue
         want = js_number(F.lit(v), blank_is_zero)
         cmp = {"greaterThan": num > want, "greaterThanOrEqual": num >= want, "lessThan": num < want, "lessThanOrEqual": num <= want, "equal": col == v, "notEqual": col != v}
         parts.append(F.coalesce(cmp[op], F.lit(False)) if op in cmp else F.lit(True))
@@ -70,12 +80,22 @@ def covered(cells: DataFrame, rects: DataFrame, bucket: int = BUCKET) -> DataFra
     return cells.join(hit.groupBy("r", "c").agg(F.max("id").alias("rect")), ["r", "c"], "left")
 
 
-def outline_groups(rows: DataFrame, max_level: int = 7, part: Sequence[str] = ()) -> DataFrame:
-    """(level, first, last) of the maximal runs of rows (r, outline) at or over each level; rows that are missing end a run."""
-    each = rows.select(*part, "r", F.explode(F.sequence(F.lit(1), F.least(F.lit(max_level), F.col("outline")))).alias("level")) if max_level else rows
-    w = Window.partitionBy(*part, "level").orderBy("r")
-    runs = each.withColumn("k", F.col("r") - F.row_number().over(w))
-    return runs.groupBy(*part, "level", "k").agg(F.min("r").alias("first"), F.max("r").alias("last")).drop("k")
+#: Rows of a range within which runs are found; runs that reach its edges are joined afterwards.
+RUN_ROWS = 1 << 16
+
+
+def outline_groups(rows: DataFrame, max_level: int = 7, part: Sequence[str] = (), run_rows: int = RUN_ROWS) -> DataFrame:
+    """(level, first, last) of the maximal runs of rows (r, outline) at or over each level; rows that are missing end a run.
+
+    Runs are found by range of rows, so that a level is not one task; only the pieces, few beside rows, meet by level."""
+    each = rows.filter("outline >= 1").select(*part, "r", F.floor(F.col("r") / run_rows).alias("span"), F.explode(F.sequence(F.lit(1), F.least(F.lit(max_level), F.col("outline")))).alias("level"))
+    w = Window.partitionBy(*part, "level", "span").orderBy("r")
+    runs = each.withColumn("k", F.col("r") - F.row_number().over(w)).groupBy(*part, "level", "span", "k").agg(F.min("r").alias("first"), F.max("r").alias("last"))
+    edge = (F.col("first") == F.col("span") * run_rows) | (F.col("last") == (F.col("span") + 1) * run_rows - 1)
+    by = Window.partitionBy(*part, "level").orderBy("first")
+    cut = runs.filter(edge).withColumn("new", F.coalesce((F.lag("last").over(by) + 1 != F.col("first")).cast("int"), F.lit(1)))
+    joined = cut.withColumn("g", F.sum("new").over(by)).groupBy(*part, "level", "g").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.drop("g").unionByName(runs.filter(~edge).select(*part, "level", "first", "last"))
 
 
 def extent(cells: DataFrame, merges: DataFrame, row_slack: int = 200, col_slack: int = 50) -> DataFrame:

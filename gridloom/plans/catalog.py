@@ -64,7 +64,7 @@ def f1_values_filter(spark, d):
 
 @query("SELECT p_partkey, p_size FROM part WHERE p_size >= 10 AND p_size < 20")
 def f2_custom_filter(spark, d):
-    return t(spark, d, "part").filter(G.custom(F.col("p_size").cast("string"), [("greaterThanOrEqual", "10"), ("lessThan", "20")])).select("p_partkey", "p_size")
+    return t(spark, d, "part").filter(G.custom(F.col("p_size"), [("greaterThanOrEqual", "10"), ("lessThan", "20")], numeric=True)).select("p_partkey", "p_size")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity FROM lineitem WHERE l_returnflag IN ('A') AND l_linestatus IN ('F') AND l_quantity < 10")
@@ -178,14 +178,15 @@ def w2_above_average(spark, d):
 
 @query("SELECT p_partkey, count(*) OVER (PARTITION BY p_retailprice) > 1 AS is_duplicate FROM part")
 def w3_duplicates(spark, d):
-    return t(spark, d, "part").select("p_partkey", (F.count("*").over(Window.partitionBy("p_retailprice")) > 1).alias("is_duplicate"))
+    return C.duplicates(t(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice").select("p_partkey", (F.col("n") > 1).alias("is_duplicate"))
 
 
 @query("WITH s AS (SELECT list(s_acctbal ORDER BY s_acctbal) AS a FROM supplier) SELECT a[1] AS p0, round(a[1] + (a[len(a)] - a[1]) * 0.5, 6) AS percent50, a[(floor(0.9 * (len(a) - 1) + 0.5) + 1)::INT] AS percentile90 FROM s")
 def w4_thresholds(spark, d):
-    s = t(spark, d, "supplier").agg(F.sort_array(F.collect_list("s_acctbal")).alias("a"), F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi"))
-    lo, hi = F.col("lo"), F.col("hi")
-    return s.select(C.threshold("min", None, lo, hi).alias("p0"), F.round(C.threshold("percent", 50, lo, hi), 6).alias("percent50"), C.threshold("percentile", 90, lo, hi, F.col("a")).alias("percentile90"))
+    v = t(spark, d, "supplier").select("s_acctbal")
+    s, lo, hi = C.stats(v, "s_acctbal"), F.col("min"), F.col("max")
+    ranked = F.lit(C.percentile(v, "s_acctbal", 0.9))
+    return s.select(C.threshold("min", None, lo, hi).alias("p0"), F.round(C.threshold("percent", 50, lo, hi), 6).alias("percent50"), C.threshold("percentile", 90, lo, hi, ranked).alias("percentile90"))
 
 
 @query("SELECT p_partkey, round((p_retailprice - lo) / (hi - lo), 6) AS bar, CASE WHEN p_retailprice >= lo + (hi - lo) * 0.67 THEN 2 WHEN p_retailprice >= lo + (hi - lo) * 0.33 THEN 1 ELSE 0 END::INTEGER AS icon FROM part, (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part)")

@@ -1 +1 @@
-
+"""Files read as they arrive."""

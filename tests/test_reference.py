@@ -36,7 +36,8 @@ def test_serials(spark):
 
 def test_delimited(spark):
     assert delimited.parse('a,"b ""x"""y,c\r\n1,2\n\n') == [["a", 'b "x"y', "c"], ["1", "2"]]
-    assert delimited.sniff("a;b\n1;2\n") == ";"
+    heads = ["a;b\n1;2\n", "a,b;c\r\n1,2\r\n", "plain", "", "x\ty|z\n1\t2|3", "a|b\n\nc|d\ne"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in heads], "t string").select(delimited.sniffed(F.col("t"))).collect()] == [";", ",", ",", ",", "\t", "|"]
     got = delimited.cells(spark.createDataFrame([("x.tsv", "n\t1,234\n\t5d")], "path string, text string")).orderBy("r", "c").collect()
     assert [(x["r"], x["c"], x["num"]) for x in got] == [(1, 1, None), (1, 2, 1234.0), (2, 2, None)]
 
@@ -80,6 +81,7 @@ def test_catalogue_columns(spark):
             assert df.count() == len(rel.fetchall()), name
 
 
+#: Formats and what they show.
 FORMATS = [
     (1, "yyyy-mm-dd", "1900-01-01"), (59, "yyyy-mm-dd", "1900-02-28"), (60, "yyyy-mm-dd", "1900-02-29"), (61, "yyyy-mm-dd", "1900-03-01"), (45000, "yyyy-mm-dd", "2023-03-15"),
     (61, "ddd", "Thu"), (0.5, "hh:mm:ss", "12:00:00"), (0.25, "hh:mm", "06:00"), (1.5, "[h]:mm", "36:00"), (0.75, "h:mm AM/PM", "6:00 PM"), (42, "General", "42"), (0.1, "General", "0.1"),
@@ -97,3 +99,65 @@ def test_number_formats(spark):
     assert [(*FORMATS[k][:2], x) for k, x in enumerate(got)] == FORMATS
     row = one.select(N.format_text(F.lit("note"), "0;0;0;@"), N.format_text(F.lit("note"), '0;0;0;"<"@">"'), N.format_value(F.lit(None).cast("double"), "0"), N.format_colour(F.lit(-5.0), "0;[Red]-0"), N.format_value(F.lit(1.0), "yyyy-mm-dd", date1904=True)).first()
     assert list(row) == ["note", "<note>", "", "red", "1904-01-02"]
+
+
+def test_plans(spark):
+    """Filters reach the scan, and nothing is sorted or windowed in one task."""
+    from gridloom.plans import catalog
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    d, q = "/root/testdata/sf0.001", catalog.queries()
+    pushed = plan(q["f2_custom_filter"](spark, d))
+    assert "GreaterThanOrEqual(p_size,10)" in pushed and "LessThan(p_size,20)" in pushed
+    assert "Window" not in plan(q["w3_duplicates"](spark, d))
+    assert "SinglePartition" not in plan(q["w9_outline_groups"](spark, d))
+    assert "collect_list" not in plan(q["w4_thresholds"](spark, d))
+    assert plan(q["flagship"](spark, d)).count("Scan parquet") <= 3
+    assert plan(q["n5_fixed_formats"](spark, d)).count("format_number") <= 12
+
+
+def test_ranked_values(spark, monkeypatch):
+    monkeypatch.setattr(C, "SORTED", 50)
+    for values in ([float(x * 7 % 1000) for x in range(1000)], [1.0] * 600 + [2.0] * 400, [float(x % 3) for x in range(500)], [5.0]):
+        num = spark.createDataFrame([(v,) for v in values], "v double").cache()
+        for k in {1, len(values) // 2 + 1, len(values)}:
+            assert C.ranked_value(num, k, len(values)) == sorted(values)[k - 1]
+
+
+def test_outline_runs_across_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(r, rng.choice([0, 1, 1, 2, 3])) for r in range(200) if rng.random() > 0.05]
+    want = set()
+    for level in (1, 2, 3):
+        have = sorted(r for r, o in rows if o >= level)
+        for r in have:
+            if r - 1 not in have:
+                e = r
+                while e + 1 in have:
+                    e += 1
+                want.add((level, r, e))
+    got = G.outline_groups(spark.createDataFrame(rows, "r long, outline int"), 3, run_rows=8)
+    assert {(x["level"], x["first"], x["last"]) for x in got.collect()} == want
+
+
+def test_large_delimited_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('n,"a ""b"", c",3\n,x,"1,200"\n')
+    got = delimited.large_cells(spark, str(tmp_path / "a.csv")).orderBy("line", "c").collect()
+    assert [(x["c"], x["text"], x["num"]) for x in got] == [(1, "n", None), (2, 'a "b", c', None), (3, "3", 3.0), (2, "x", None), (3, "1,200", 1200.0)]
+
+
+def test_files_as_they_arrive(spark, tmp_path):
+    from gridloom.sources import build, packages, sheets
+    from gridloom.streaming import files
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xlsx").write_bytes(build.workbook([("S", [[1.5, "x"]], "")]))
+    (tmp_path / "in" / "b.xlsx").write_bytes(b"PK\x03\x04 broken")
+    recs = files.arriving(spark, str(tmp_path / "in"), sheets.read_workbook)
+    recs.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert packages.of_kind(out, "cell", "v string").count() == 2 and out.filter("kind = 'error'").count() == 1
