@@ -124,5 +124,8 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray) -> DataFrame:
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) for every row, whole texts, however long; rows of crc32(doc_id as text) mod 4 = 2 are
+    held out of the fit. Null texts and null langs teach nothing; with no lang at all every prediction is `und`, 0. Repeated
+    rows repeat, an empty table gives no rows, other columns are not read. Equal shares go to the first lang by name."""
     train = crc_mod("doc_id", 4) != 2
     return predict(docs, *fit(docs, train=train)).select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

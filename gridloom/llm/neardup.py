@@ -200,8 +200,8 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, value) of the documents with these ids, a stored table: the planner knows its size, and sends it to the texts or
-    shuffles both."""
+    """(id, value) of the documents with these ids. ids is a stored table: the planner knows its size, and sends it to the texts
+    or shuffles both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -21,6 +21,8 @@ from gridloom.llm.common import blocks, crc_mod, id_text, lowest, text_buffers,
 #: Rows the model is fitted on, about: positives, and unlabelled ones.
 FIT_POSITIVES, FIT_UNLABELLED = 5000, 10000
 STEPS, RATE, L2 = 600, 0.05, 1e-4
+#: Steps of the models that only rank rows for the prior.
+RANK_STEPS = 200
 #: Buckets of hashed words, and how much they weigh beside the other features.
 WORD_BUCKETS, WORD_SCALE = 128, 2.0
 #: Rows are split in so many parts to score each by a model that has not seen it; chance of the bound on the prior to fail.
@@ -56,9 +58,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _adam(w: np.ndarray, gradient) -> np.ndarray:
+def _adam(w: np.ndarray, gradient, steps: int = STEPS) -> np.ndarray:
     m, v = 0.0, 0.0
-    for t in range(1, STEPS + 1):
+    for t in range(1, steps + 1):
         g = gradient(w) + L2 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -72,8 +74,8 @@ def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[flo
     sp, su = _sigmoid(zp), _sigmoid(zu)
     loss = lambda z: np.logaddexp(0, z)
     part = loss(zu).mean() - prior * loss(zp).mean()
-    good = prior * (p * (sp - 1)[:, None]).mean(axis=0)
-    bad = (u * su[:, None]).mean(axis=0) - prior * (p * sp[:, None]).mean(axis=0)
+    good = prior * ((sp - 1) @ p) / len(p)
+    bad = (su @ u) / len(u) - prior * (sp @ p) / len(p)
     return prior * loss(-zp).mean() + max(0.0, part), good + bad if part >= 0 else -bad
 
 
@@ -87,7 +89,8 @@ def estimated_prior(pos: np.ndarray, unl: np.ndarray) -> float:
         p, u = np.arange(len(pos)) % FOLDS == k, np.arange(len(unl)) % FOLDS == k
         if p.all() or u.all():
             return 0.5
-        w = _adam(np.zeros(pos.shape[1]), lambda w: ((pos[~p] * (_sigmoid(pos[~p] @ w) - 1)[:, None]).mean(axis=0) + (unl[~u] * _sigmoid(unl[~u] @ w)[:, None]).mean(axis=0)) / 2)  # noqa: B023
+        a, b = pos[~p], unl[~u]
+        w = _adam(np.zeros(pos.shape[1]), lambda w: ((_sigmoid(a @ w) - 1) @ a / len(a) + _sigmoid(b @ w) @ b / len(b)) / 2, RANK_STEPS)  # noqa: B023
         sp[p], su[u] = pos[p] @ w, unl[u] @ w
     edges = np.sort(sp)
     over_p = 1 - np.arange(len(sp)) / len(sp)

@@ -93,6 +93,8 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 
 def rule_rows(docs: DataFrame) -> DataFrame:
+    """The ledger's measurements with the base rules' verdict and that of policy v1, for every row; null texts are empty and fail
+    the base. Whole texts are measured, repeated rows repeat, an empty table gives no rows, other columns are not read."""
     rows = verdict(ledger(docs))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", (F.col("failures").bitwiseAND(F.lit(mask("base"))) != 0).alias("base_failed"), "kept")
 

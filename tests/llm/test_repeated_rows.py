@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridloom.llm import fingerprints, langid, neardup, packing, pii, pipeline, quality
+from gridloom.llm import fingerprints, langid, neardup, packing, pii, pipeline, quality, rules
 from tests.llm.test_operators import KEY, WORDS, least_reachable, shingles, text
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -156,3 +156,33 @@ def test_surrogates_of_one_key_and_of_none(spark):
     new = "".join(iban)
     assert new[:2] == "GB" and int("".join(str(int(c, 36)) for c in new[4:] + new[:4])) % 97 == 1
     assert re.fullmatch(r"GB\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", " ".join(iban))
+
+
+def test_mixture_against_a_plain_version():
+    rng = np.random.default_rng(4)
+    p, n = rng.dirichlet(np.ones(40), 3).T, rng.integers(1, 9, 40).astype(float)
+    share = [1 / 3] * 3
+    for _ in range(langid.ROUNDS):
+        mine = [0.0] * 3
+        for g in range(40):
+            whole = sum(share[k] * p[g, k] for k in range(3))
+            for k in range(3):
+                mine[k] += n[g] * share[k] * p[g, k] / whole
+        new = [x / n.sum() for x in mine]
+        done = max(abs(a - b) for a, b in zip(new, share)) < 1e-3
+        share = new
+        if done:
+            break
+    got, value = langid.mixture(p, n)
+    assert np.allclose(got, share) and abs(value - sum(n[g] * np.log(sum(share[k] * p[g, k] for k in range(3))) for g in range(40))) < 1e-9
+
+
+def test_ablation_counts(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice([text(rng, 30), text(rng, 3), "a # b " * 20, "x\nx\nx\nx " * 9, "ABCDEF GHIJ " * 15, None])) for i in range(80)]
+    led = rules.ledger(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "failures").collect()
+    bits = {name: 1 << k for k, (name, _) in enumerate(rules.RULES)}
+    got = {r["rule"]: (r["failing"], r["only_this"]) for r in rules.ablation(spark.createDataFrame(led)).collect()}
+    own = [r["failures"] & rules.mask("v1") for r in led]
+    assert got == {name: (sum(f & b > 0 for f in own), sum(f == b for f in own)) for name, b in bits.items() if name in rules.POLICIES["v1"]}
+    assert any(n for n, _ in got.values())
