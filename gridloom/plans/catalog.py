@@ -72,11 +72,12 @@ def f3_conjunction(spark, d):
     return t(spark, d, "lineitem").filter(G.in_values(F.col("l_returnflag"), ["A"]) & G.in_values(F.col("l_linestatus"), ["F"]) & (F.col("l_quantity") < 10)).select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey <= 500 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) AND c_custkey % 7 <> 0")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AND NOT c_acctbal < 0")
 def f6_visibility(spark, d):
+    """Rows that a filter hides (by their orders) and rows hidden by themselves (by their balance); all rows of the sheet."""
     hidden = t(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("c_custkey"))
-    flagged = t(spark, d, "customer").filter("c_custkey % 7 = 0").select("c_custkey")
-    return G.visible(t(spark, d, "customer"), "c_custkey", hidden.unionByName(flagged), 500).select("c_custkey", "c_name")
+    flagged = t(spark, d, "customer").filter("c_acctbal < 0").select("c_custkey")
+    return G.visible(t(spark, d, "customer"), "c_custkey", hidden.unionByName(flagged)).select("c_custkey", "c_name")
 
 
 @query("SELECT p_partkey AS r, c, text FROM (SELECT p_partkey, 1 AS c, p_name AS text FROM part UNION ALL SELECT p_partkey, 2, p_brand FROM part UNION ALL SELECT p_partkey, 3, p_type FROM part) WHERE contains(lower(text), 'an')")

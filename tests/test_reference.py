@@ -17,6 +17,9 @@ def test_filters(spark):
     assert rows(G.in_values(F.col("g"), [])) == []
     assert rows(G.in_values(F.col("g"), ["A"]) & G.custom(F.col("score"), [("greaterThan", "88")])) == [2, 6]
     assert rows(G.custom(F.col("score"), [("lessThan", "80")])) == [3, 5]
+    hidden = spark.createDataFrame([(3,), (3,), (9,)], "r int")
+    shown = lambda *a: [x["r"] for x in G.visible(df, "r", hidden, *a).orderBy("r").collect()]
+    assert shown() == [2, 4, 5, 6] and shown(4) == [2, 4] and shown(1) == []
 
 
 def test_conditional_formats(spark):
