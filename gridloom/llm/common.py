@@ -33,10 +33,10 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def id_text(docs: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+def id_text(docs: DataFrame, carry: Sequence[str] = (), nulls: bool = False) -> DataFrame:
     """Only the two columns the text operators use: other columns, whatever their names, never reach a plan, but for a struct
-    `carry` of those named."""
-    both = [docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text")]
+    `carry` of those named. Null texts are empty, unless `nulls` leaves them."""
+    both = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"] if nulls else F.coalesce(docs["text"], F.lit("")).alias("text")]
     return docs.select(*both, *([F.struct(*(docs[c] for c in carry)).alias("carry")] if carry else []))
 
 

@@ -32,7 +32,7 @@ _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123
 
 def features(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """A row of features for each row of text."""
-    out = []
+    out = np.empty((len(offs) - 1, len(_CLASSES) + 8 + WORD_BUCKETS), np.float32)
     for i, j in blocks(offs):
         words, at = word_hashes(raw, offs[i : j + 1], lower=False)
         for d in range(j - i):
@@ -45,8 +45,9 @@ def features(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
             pairs = np.unique(w[1:] + w[:-1] * np.uint64(3)) if len(w) > 1 else w
             p = hist[hist > 0] / n
             hashed = np.sqrt(np.bincount((w >> np.uint64(57)).astype(np.int64), minlength=WORD_BUCKETS) / m)
-            out.append([*(np.sqrt(s) for s in share), np.log1p(len(w)), len(seen) / m, seen.max() / m if len(seen) else 0.0, again, len(pairs) / m, np.log1p(n / m), float(-(p * np.log(p)).sum()), np.log1p(hist[10]), *hashed])
-    return np.array(out, np.float32).reshape(len(offs) - 1, len(_CLASSES) + 8 + WORD_BUCKETS)
+            out[i + d, :-WORD_BUCKETS] = [*(np.sqrt(s) for s in share), np.log1p(len(w)), len(seen) / m, seen.max() / m if len(seen) else 0.0, again, len(pairs) / m, np.log1p(n / m), float(-(p * np.log(p)).sum()), np.log1p(hist[10])]
+            out[i + d, -WORD_BUCKETS:] = hashed
+    return out
 
 
 def expand(x: np.ndarray, mean: np.ndarray, std: np.ndarray) -> np.ndarray:
@@ -141,18 +142,23 @@ def fit(docs: DataFrame, labels: DataFrame, train=None) -> dict | None:
 
 def score(docs: DataFrame, model: dict | None, carry: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score) and the columns to carry, for every row: the likelihood of label 1 for every whole text, null as empty.
-    Without a model all score 0.5. Repeated rows repeat; an empty table gives no rows; other columns are not read."""
+    Without a model all score 0.5. Repeated rows repeat; an empty table gives no rows; other columns are not read. A text to be
+    carried goes to Python once, and features exist for a block of rows at a time."""
+    own, rest = "text" in carry, [c for c in carry if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if model is None:
-                s = np.full(b.num_rows, 0.5)
-            else:
-                s = _sigmoid(expand(features(*text_buffers(b.column(1))), model["mean"], model["std"]) @ model["w"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *b.columns[2:]], ["doc_id", "score", *["carry"] * (b.num_columns - 2)])
-
-    rows = id_text(docs, carry)
-    schema = StructType(StructType().add("doc_id", "long").add("score", "double").fields + rows.schema.fields[2:])
+            s = np.full(b.num_rows, 0.5)
+            if model is not None:
+                raw, offs = text_buffers(b.column(1))
+                for i, j in blocks(offs):
+                    s[i:j] = _sigmoid(expand(features(raw, offs[i : j + 1]), model["mean"], model["std"]) @ model["w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), *b.columns[1 if own else 2 :]], names)
+
+    # A null text is carried as null; text_buffers() takes it as empty.
+    rows = id_text(docs, rest, nulls=own)
+    schema = StructType(StructType().add("doc_id", "long").add("score", "double").fields + rows.schema.fields[1 if own else 2 :])
+    names = schema.names
     return uncarried(rows.mapInArrow(run, schema))
 
 
