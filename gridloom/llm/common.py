@@ -18,6 +18,9 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Arrow text is hashed in blocks of whole documents of about this size, which bounds numpy's memory.
 BLOCK_BYTES = 1 << 20
+#: Arrow batches hold about so many bytes unless the session says otherwise, so that a Python worker's memory follows neither the
+#: number of rows nor their length; a longer text stands alone.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A word over so many bytes is hashed by xxh64 instead of the column-wise loop.
 LONG_WORD = 48
 
@@ -35,7 +38,10 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 def id_text(docs: DataFrame, carry: Sequence[str] = (), nulls: bool = False) -> DataFrame:
     """Only the two columns the text operators use: other columns, whatever their names, never reach a plan, but for a struct
-    `carry` of those named. Null texts are empty, unless `nulls` leaves them."""
+    `carry` of those named. Null texts are empty, unless `nulls` leaves them. Sets the session's BATCH_SETTING where it is unset."""
+    session = docs.sparkSession
+    if not session._jsparkSession.sessionState().conf().contains(BATCH_SETTING):
+        session.conf.set(BATCH_SETTING, str(BATCH_BYTES))
     both = [docs["doc_id"].cast("long").alias("doc_id"), docs["text"] if nulls else F.coalesce(docs["text"], F.lit("")).alias("text")]
     return docs.select(*both, *([F.struct(*(docs[c] for c in carry)).alias("carry")] if carry else []))
 

@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from gridloom.llm import langid, packing, pii
+from gridloom.llm import common, langid, lines, neardup, packing, pii, quality
 
 KEY = b"only for tests"
 
@@ -93,3 +93,22 @@ def test_language_learns_every_lang(spark):
     langs, p = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_rows=4)
     assert "de" in langs  # three of 4,003 rows, of which about four were taken before
     assert p.shape == (langid.BUCKETS, len(langs))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Whatever the batches, the results are the same; a session's own bound stays."""
+    own = spark.createDataFrame([(k, f"a line {k % 3}\nsome words of {k} " * 20, "en", "web", 0) for k in range(300)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    spark.conf.unset(common.BATCH_SETTING)
+    try:
+        common.id_text(own)
+        assert int(spark.conf.get(common.BATCH_SETTING)) == common.BATCH_BYTES
+        results = []
+        for size in (common.BATCH_BYTES, 2000):
+            spark.conf.set(common.BATCH_SETTING, str(size))
+            results.append([sorted(map(str, f(own).collect())) for f in (neardup.near_duplicates, lambda d: lines.deduplicated(d, digest=True), packing.pack_documents, lambda d: pii.surrogates(d, KEY), lambda d: quality.score(d, None))])
+            assert spark.conf.get(common.BATCH_SETTING) == str(size)
+        for whole, parts in zip(*results):
+            assert len(whole) == len(parts)
+        assert [r for k, r in enumerate(results[0]) if k != 2] == [r for k, r in enumerate(results[1]) if k != 2]
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
