@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import id_text
+from gridloom.llm.common import id_text, released
 
 #: Table sizes; a full one is emptied, which costs time and changes no result.
 MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 32_768, 400_000, 200_000
@@ -383,7 +383,7 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
                 part = b.slice(k, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(c.encode_all(part.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, ids binary")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, ids binary")
 
 
 def decoded(ids: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -395,7 +395,7 @@ def decoded(ids: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
             texts = ["".join(c.decode(np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return ids.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, text string")
 
 
 def round_trip_digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
@@ -414,4 +414,4 @@ def round_trip_digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") ->
                 text_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks, id_text, shingle_hashes, text_buffers, word_hashes
+from gridloom.llm.common import blocks, id_text, shingle_hashes, text_buffers, word_hashes, released
 
 BINS, BITS, WORDS, SEED = 512, 4, 5, 20240229
 #: Documents of one bucket are neighbours in doc_id and are streamed by one task; the number of buckets is bounded.
@@ -98,7 +98,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprint_column(b.column(1), words, bins, bits), pa.string())], ["doc_id", "fingerprint"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, fingerprint string")
 
 
 def with_next(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -156,4 +156,4 @@ def edited_pairs(docs: DataFrame, words: int = WORDS, bins: int = BINS, bits: in
                 yield pairs(rows)
                 held = rows[-1:]
 
-    return with_next(docs).mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return with_next(docs).mapInArrow(released(run), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import dropped, few_tasks, stored
+from gridloom.llm.common import dropped, few_tasks, stored, released
 
 #: Edges that one task contracts: 16 bytes each, and about ten times that while it works.
 TASK_EDGES = 1_000_000
@@ -56,7 +56,7 @@ def _contract(whole: bool):
 def components(edges: DataFrame) -> DataFrame:
     """(id, component), a stored table, for every id in edges (a, b): component is the least id reachable. No neighbour list
     is ever collected; one task alone settles them only while at most TASK_EDGES are left. No edges give no rows."""
-    e = stored(edges.select("a", "b").mapInArrow(_contract(False), "u long, v long"))
+    e = stored(edges.select("a", "b").mapInArrow(released(_contract(False)), "u long, v long"))
     n, mark = e.count(), None
     while n > TASK_EDGES:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -64,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        now = stored(small.mapInArrow(_contract(False), "u long, v long").distinct())
+        now = stored(small.mapInArrow(released(_contract(False)), "u long, v long").distinct())
         dropped(e)
         e = now
         found = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -72,7 +72,7 @@ def components(edges: DataFrame) -> DataFrame:
             break
         n, mark = found[0], found
     if n <= TASK_EDGES:
-        out = stored(few_tasks(e, 1, 1).mapInArrow(_contract(True), "id long, component long"))
+        out = stored(few_tasks(e, 1, 1).mapInArrow(released(_contract(True)), "id long, component long"))
     else:
         out = stored(e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))
     dropped(e)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import crc_mod, id_text, lowest
+from gridloom.llm.common import crc_mod, id_text, lowest, released
 
 BUCKETS = 1 << 14
 #: Rows of each lang that the model is fitted on, about; rows with the lowest hashes of doc_id are taken.
@@ -59,7 +59,7 @@ def fit(docs: DataFrame, fit_rows: int = FIT_ROWS, train=None) -> tuple[list[str
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(c[at])], ["lang", "gram", "n"])
 
-    found = rows.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    found = rows.select("text", "lang").mapInArrow(released(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     p = np.full((BUCKETS, len(langs)), SMOOTH)
     for k, lang in enumerate(langs):
@@ -120,7 +120,7 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray) -> DataFrame:
                 shares.append(np.round(all_s, 6).tolist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(shares, pa.list_(pa.float64()))], ["doc_id", "lang_pred", "score", "shares"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double, shares array<double>")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, lang_pred string, score double, shares array<double>")
 
 
 def held_out_predictions(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, id_text, stored, uncarried
+from gridloom.llm.common import ASCII_LOWER, ASCII_UPPER, id_text, stored, uncarried, released
 
 MIN_DOCS, MIN_CHARS = 10, 1
 _SPACE = " \t\n\x0b\x0c\r"
@@ -90,7 +90,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = M
     first of them, by document and position, stays. A document counts once however often it has the line."""
     hashes = line_hashes(docs, min_chars)
     n = max(hashes.sparkSession.sparkContext.defaultParallelism, int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = stored(hashes.repartitionByRange(n, "h", "g", "doc_id", "copy", "pos").sortWithinPartitions("h", "g", "doc_id", "copy", "pos").mapInArrow(_stream(min_docs), "kind int, h long, g int, doc_id long, copy long, pos int, n long, first boolean"))
+    found = stored(hashes.repartitionByRange(n, "h", "g", "doc_id", "copy", "pos").sortWithinPartitions("h", "g", "doc_id", "copy", "pos").mapInArrow(released(_stream(min_docs)), "kind int, h long, g int, doc_id long, copy long, pos int, n long, first boolean"))
     edges: dict[tuple[int, int], list] = {}
     for r in found.filter("kind = 2").orderBy("pos").collect():  # at most two rows a partition
         e = edges.setdefault((r["h"], r["g"]), [0, None, r["pos"]])
@@ -118,7 +118,7 @@ def bitmaps(lines: DataFrame) -> DataFrame:
                 maps.append(zlib.compress(np.packbits(bits).tobytes()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(maps, pa.binary())], ["doc_id", "copy", "dropped"])
 
-    return lines.groupBy("doc_id", "copy").agg(F.collect_list("pos").alias("p")).mapInArrow(run, "doc_id long, copy long, dropped binary")
+    return lines.groupBy("doc_id", "copy").agg(F.collect_list("pos").alias("p")).mapInArrow(released(run), "doc_id long, copy long, dropped binary")
 
 
 def _kept(text: str, dropped: bytes | None) -> tuple[str, int, int]:
@@ -149,7 +149,7 @@ def deduplicated(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_lines", "n_dropped", name, *["carry"] * (len(cols) - 4)])
 
     schema = StructType().add("doc_id", "long").add("n_lines", "long").add("n_dropped", "long").add(name, "string")
-    return uncarried(rows.mapInArrow(run, StructType(schema.fields + rows.schema.fields[3:])))
+    return uncarried(rows.mapInArrow(released(run), StructType(schema.fields + rows.schema.fields[3:])))
 
 
 ORACLE_OP6 = r"""

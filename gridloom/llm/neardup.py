@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import blocks, dropped, id_text, shingle_hashes, stored, text_buffers, word_hashes
+from gridloom.llm.common import blocks, dropped, id_text, shingle_hashes, stored, text_buffers, word_hashes, released
 from gridloom.llm.graph import components
 
 WORDS, PERCENT = 5, 80
@@ -68,7 +68,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 low.append(s[:K].tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n_shingles", "sig", "sketch"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n_shingles long, sig binary, sketch binary")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, n_shingles long, sig binary, sketch binary")
 
 
 def entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -84,7 +84,7 @@ def entries(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
             key = np.concatenate(low) if low else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), b.column(0).take(at), b.column(1).take(at)], ["key", "id", "n"])
 
-    every = classes.select("id", "n", "sketch").mapInArrow(run, "key long, id long, n long")
+    every = classes.select("id", "n", "sketch").mapInArrow(released(run), "key long, id long, n long")
     often = every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
     mine = Window.partitionBy("id")
     size = F.least(F.col("n"), F.lit(INDEX))
@@ -139,7 +139,7 @@ def candidates(entries: DataFrame, long: DataFrame, percent: int = PERCENT) -> D
     hot = hot.select("key", F.col("p.id").alias("hot"), F.col("p.n").alias("hot_n"))
     dealt = entries.join(F.broadcast(hot), "key", "left").withColumn("salt", F.when(F.col("hot").isNull(), 0).otherwise(F.floor(F.log(1.25, F.col("n").cast("double"))) * HOT_PARTS + F.pmod(F.xxhash64("id"), F.lit(HOT_PARTS))).cast("int"))
     dealt = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "n", "id").select("key", "salt", "id", "n", "hot", "hot_n")
-    return dealt.mapInArrow(_pairs(percent), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("overlap"))
+    return dealt.mapInArrow(released(_pairs(percent)), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("overlap"))
 
 
 def best_partners(pairs: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT) -> D
                 p = b.slice(k, 2048)
                 yield p.select([0, 1]).filter(pa.array(_common(p.column(2).to_pylist(), p.column(3).to_pylist()) >= least))
 
-    return _with_values(pairs, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(run, "a long, b long")
+    return _with_values(pairs, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(released(run), "a long, b long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -196,7 +196,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_values(pairs, sets).mapInArrow(run, "a long, b long")
+    return _with_values(pairs, sets).mapInArrow(released(run), "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -208,7 +208,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in _sets(b.column(1), words)], pa.binary())], ["id", "value"])
 
     texts = id_text(docs).withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
-    return texts.mapInArrow(run, "id long, value binary").groupBy("id").agg(F.first("value").alias("value"))
+    return texts.mapInArrow(released(run), "id long, value binary").groupBy("id").agg(F.first("value").alias("value"))
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -372,9 +372,9 @@ def rest(docs: DataFrame, classes: DataFrame, entries: DataFrame, long: DataFram
         return got.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
 
     rows = cells.select("key", "id", "component", "block", "n", "shared", pair.alias("cells"))
-    near = stored(dealt(rows, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(_by_cell(percent, False), _CELL))
+    near = stored(dealt(rows, classes.select("id", F.col("sketch").alias("value"))).mapInArrow(released(_by_cell(percent, False)), _CELL))
     sets = stored(full_sets(docs, near.select("id").distinct(), words))
-    out = stored(dealt(near.withColumn("cells", F.array(F.struct("lo", "hi"))), sets).mapInArrow(_by_cell(percent, True), "a long, b long"))
+    out = stored(dealt(near.withColumn("cells", F.array(F.struct("lo", "hi"))), sets).mapInArrow(released(_by_cell(percent, True)), "a long, b long"))
     dropped(e, near, sets)
     return out
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, stored
+from gridloom.llm.common import id_text, stored, released
 
 CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
@@ -118,7 +118,7 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAP
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(cols[: 5 + with_ids], names[: 5 + with_ids])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return id_text(docs).mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:

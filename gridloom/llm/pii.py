@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm.common import id_text, stored, uncarried
+from gridloom.llm.common import id_text, stored, uncarried, released
 
 #: Where a session names the secret key; without one each call of surrogates() draws its own.
 KEY_SETTING = "spark.gridloom.pii.key"
@@ -288,7 +288,7 @@ def entities(docs: DataFrame) -> DataFrame:
             cols = list(zip(*rows)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["doc_id", "start", "end", "kind", "value"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, start int, end int, kind string, value string")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, start int, end int, kind string, value string")
 
 
 def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
@@ -297,7 +297,7 @@ def _drawn(rows: DataFrame, key: bytes) -> DataFrame:
             k, v, a = (b.column(i).to_pylist() for i in range(3))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([surrogate(*x, key) for x in zip(k, v, a)], pa.string())], ["kind", "value", "attempt", "new"])
 
-    return rows.select("kind", "value", "attempt").mapInArrow(run, "kind string, value string, attempt int, new string")
+    return rows.select("kind", "value", "attempt").mapInArrow(released(run), "kind string, value string, attempt int, new string")
 
 
 def redrawn(found: DataFrame, key: bytes) -> DataFrame:
@@ -374,4 +374,4 @@ def surrogates(docs: DataFrame, key: bytes | None = None, carry: Sequence[str] =
         own = entities(docs).join(exceptions, ["kind", "value"]).groupBy("doc_id").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("own"))
         rows = rows.join(own, "doc_id", "left").withColumn("own", F.coalesce("own", F.array().cast("array<struct<kind:string,value:string,attempt:int>>")))
         rows = rows.select("doc_id", "text", *["carry"] * n_carry, "own")
-    return uncarried(rows.mapInArrow(run, schema))
+    return uncarried(rows.mapInArrow(released(run), schema))

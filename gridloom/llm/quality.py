@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gridloom.llm.common import blocks, crc_mod, id_text, lowest, text_buffers, uncarried, word_hashes
+from gridloom.llm.common import blocks, crc_mod, id_text, lowest, text_buffers, uncarried, word_hashes, released
 
 #: Rows the model is fitted on, about: positives, and unlabelled ones.
 FIT_POSITIVES, FIT_UNLABELLED = 5000, 10000
@@ -116,7 +116,7 @@ def with_features(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in features(*text_buffers(b.column(1)))], pa.binary())], ["doc_id", "x"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, x binary")
+    return id_text(docs).mapInArrow(released(run), "doc_id long, x binary")
 
 
 def _some(df: DataFrame, rows: int) -> DataFrame:
@@ -159,7 +159,7 @@ def score(docs: DataFrame, model: dict | None, carry: Sequence[str] = ()) -> Dat
     rows = id_text(docs, rest, nulls=own)
     schema = StructType(StructType().add("doc_id", "long").add("score", "double").fields + rows.schema.fields[1 if own else 2 :])
     names = schema.names
-    return uncarried(rows.mapInArrow(run, schema))
+    return uncarried(rows.mapInArrow(released(run), schema))
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
