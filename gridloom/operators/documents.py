@@ -225,14 +225,26 @@ def list_markers(paras: DataFrame, levels: DataFrame) -> DataFrame:
     """Paragraphs (path, ord, num_id, level) of lists with `value`, their counter, and `marker`, the level's text with %n
     replaced by the counter of level n in its own format. A paragraph resets the deeper counters of its list."""
     own = paras.filter("num_id is not null and num_id <> '0'").join(levels, ["path", "num_id", "level"])
+    starts = levels.groupBy("path", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("start", "format")))).alias("book"))
+    return _marked(own.join(starts, ["path", "num_id"]))
+
+
+def list_items(recs: DataFrame) -> DataFrame:
+    """list_markers() of the records of texts.read_list_items(), which have each paragraph beside its level: the files are read
+    once, and nothing is joined."""
+    own = of_kind(recs, "item", "num_id string, level int, abstract string, start int, format string, text string, book string", "ord")
+    book = F.transform_keys(F.from_json("book", "map<string,struct<start:int,format:string>>"), lambda k, _: k.cast("int"))
+    return _marked(own.withColumn("book", book))
+
+
+def _marked(own: DataFrame) -> DataFrame:
+    """Paragraphs with their level's start, format and text, and their list's book of starts and formats, as list_markers() gives them."""
     order = Window.partitionBy("path", "num_id").orderBy("ord")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     shallower = lambda k: F.sum(F.when(F.col("level") < k, 1).otherwise(0)).over(upto)
     own = own.withColumn("era", F.coalesce(F.element_at(F.array(*(F.coalesce(shallower(k), F.lit(0)) for k in range(9))), F.col("level") + 1), F.lit(0)))
     own = own.withColumn("value", F.row_number().over(Window.partitionBy("path", "num_id", "level", "era").orderBy("ord")) + F.col("start") - 1)
-    starts = levels.groupBy("path", "num_id").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("start", "format")))).alias("book"))
-    own = own.join(starts, ["path", "num_id"])
     own = own.withColumnRenamed("text", "text_of_level")
     for k in range(9):
         # The counter of a shallower level that stands, or its start where a still shallower paragraph has reset it.

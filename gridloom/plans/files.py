@@ -217,9 +217,8 @@ _ITEMS = f"SELECT doc_id, pos, length(line) % 3 AS level FROM ({_LINES}) WHERE p
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, level, CASE level WHEN 0 THEN 0 WHEN 1 THEN e1 ELSE e2 END ORDER BY pos) AS value FROM i)
 SELECT doc_id || '.docx' AS path, pos::INTEGER AS ord, level::INTEGER AS level, value::INTEGER AS value FROM n""")
 def w12_list_counters(spark, d):
-    recs = _docx(spark, d)
-    paras = D.blocks(recs).select("path", "ord", "num_id", "level")
-    return D.list_markers(paras, D.list_levels(recs)).select("path", "ord", "level", "value")
+    recs = packages.records(_docx_files(spark, d), texts.read_list_items)
+    return D.list_items(recs).select("path", "ord", "level", "value")
 
 
 @query("SELECT n_regionkey || '.docx' AS path, n_nationkey::INTEGER AS row, 0 AS column, 1::BIGINT AS rows FROM nation WHERE n_nationkey < 0 UNION ALL SELECT n_regionkey || '.docx', 0, 0, count(*) FROM nation GROUP BY 1 UNION ALL SELECT n_regionkey || '.docx', (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1)::INTEGER, 2, 1 FROM nation")
