@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,62 +26,78 @@ from gridloom.llm.common import id_text, stored, released
 CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
 SHARD_PIECES = 32_768
-MAX_CHUNKS = 100_000
-_CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
+#: Marks that end a piece within a chunk and a piece at the end of one; no chunk has them.
+INNER, OUTER = b" ", b"\n"
+_LETTERS, _MARKS = "ßàâäçèéêëíîïñóôöùúûüœá", ".,;:!?#*$%&()=-+_/\"@"
+_PLAIN = "^[a-zA-Z0-9" + re.escape(_MARKS) + _LETTERS + _LETTERS.replace("ß", "").upper() + "]+$"
+#: Bytes by kind: digits 1, marks 2, the end of a chunk 3, letters (and the bytes of those that have two) 0.
+_KIND = np.zeros(256, np.uint8)
+_KIND[list(b"0123456789")], _KIND[list(_MARKS.encode())], _KIND[list(OUTER)] = 1, 2, 3
 
 
 class WordTokenizer:
-    """Ids of white-space-free chunks, remembered; a text's ids are its chunks' ids, since no token spans white space."""
+    """Ids by distinct chunks free of white space; a text's ids are its chunks' ids, since no token spans white space."""
 
     def __init__(self, path: str):
         import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        # Merges with word ends, as ranks over bytes: 0xFF, which UTF-8 never has, stands for the end and joins its byte first.
+        # Merges with word ends, as ranks over bytes: INNER or OUTER stands for the end and joins its byte first. Every rank
+        # is there twice, so that the last token of a chunk is known by its own: an odd one.
         model = json.load(open(path, encoding="utf-8"))["model"]
-        self.ids, ranks = {}, {bytes([b]): 60_000 + b for b in range(256)}
+        raw, ends = {bytes([b]): 60_000 + b for b in range(256)}, {bytes([b]): b for b in range(256)}
         back = {c: b for b, c in _byte_alphabet().items()}
-        ranks |= {bytes([b, 255]): b for b in range(255)}
-        raw = lambda s: bytes(back[c] for c in s.removesuffix("</w>")) + b"\xff" * s.endswith("</w>")
         for k, m in enumerate(model["merges"]):
-            a, b = m.split(" ") if isinstance(m, str) else m
-            ranks.setdefault(raw(a + b), 1000 + k)
+            t = "".join(m.split(" ") if isinstance(m, str) else m)
+            (ends if t.endswith("</w>") else raw).setdefault(bytes(back[c] for c in t.removesuffix("</w>")), 1000 + k)
+        ranks = {t: 2 * r for t, r in raw.items()} | {t + INNER: 2 * r for t, r in ends.items()} | {t + OUTER: 2 * r + 1 for t, r in ends.items()}
+        self.ids = np.zeros(max(ranks.values()) + 1, "<u4")
         for s, i in model["vocab"].items():
-            if not s.startswith("<|") and (t := raw(s)) in ranks:
-                self.ids[ranks[t]] = i
-        self.packed = {r: i.to_bytes(4, "little") for r, i in self.ids.items()}
-        self.bpe = tiktoken.Encoding("words", pat_str=r".", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
-        self.simple = re.compile(r"[a-z0-9.,;:!?#*$%&()=\-+_/\"@ßàâäçèéêëíîïñóôöùúûüœá]+").fullmatch
-        self.letters = re.compile(r"[a-zßàâäçèéêëíîïñóôöùúûüœá]+|[0-9]|[.,;:!?#*$%&()=\-+_/\"@]+").findall
-
-    def chunk(self, s: str) -> bytes | None:
-        """A chunk of plain letters, digits and marks by the ranks; any other is left to the library."""
-        low = s.lower()
-        if not self.simple(low):
-            return None
-        ids, get, bpe = b"", self.packed, self.bpe
-        for piece in self.letters(low):
-            for r in bpe(piece.encode() + b"\xff"):
-                ids += get[r]
-        return ids
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > MAX_CHUNKS:
-            # Chunks that are met again move over from the older half.
-            self.known, self.older = {}, self.known
-        known, older, split = self.known, self.older, [_CHUNK.findall(t) for t in texts]
-        rest = []
-        for c in set().union(*split) - known.keys():
-            if (x := older.get(c)) is None and (x := self.chunk(c)) is None:
-                rest.append(c)
-            else:
-                known[c] = x
-        for c, e in zip(rest, self.tok.encode_batch(rest, add_special_tokens=False)):
-            known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([known[c] for c in s]) for s in split]
+            if not s.startswith("<|"):
+                t = bytes(back[c] for c in s.removesuffix("</w>"))
+                for r in [ranks.get(t + INNER), ranks.get(t + OUTER)] if s.endswith("</w>") else [ranks.get(t)]:
+                    if r is not None:
+                        self.ids[r] = i
+        self.bpe = tiktoken.Encoding("words", pat_str=r"[^ \n]+[ \n]", mergeable_ranks=ranks, special_tokens={})
+
+    def _plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks of plain letters, digits and marks one after another, by the ranks, and where each chunk's end."""
+        joined = pc.binary_join(pa.LargeListArray.from_arrays([0, len(chunks)], chunks), OUTER.decode())[0].as_py() + OUTER.decode()
+        b = np.frombuffer(joined.lower().encode(), np.uint8)
+        kind = _KIND[b]
+        # Letters make pieces as long as they go, and marks; each digit is one. OUTER ends the last piece of a chunk.
+        inner = np.flatnonzero(((kind[:-1] != kind[1:]) | (kind[:-1] == 1)) & (kind[:-1] != 3) & (kind[1:] != 3))
+        out = np.insert(b, inner + 1, INNER[0])
+        tokens = self.bpe.encode_to_numpy(out.tobytes().decode(), disallowed_special=())
+        return self.ids[tokens], np.flatnonzero(tokens & 1) + 1
+
+    def _chunks(self, chunks: pa.Array) -> pa.Array:
+        """The ids of each chunk; those that are not plain are left to the library."""
+        plain = pc.match_substring_regex(chunks, _PLAIN)
+        rest = [e.ids for e in self.tok.encode_batch(chunks.filter(pc.invert(plain)).to_pylist(), add_special_tokens=False)]
+        mask, lens = plain.to_numpy(zero_copy_only=False), np.array(list(map(len, rest)), np.int64)
+        own, ends = self._plain(chunks.filter(plain)) if mask.any() else (np.zeros(0, "<u4"), np.zeros(0, np.int64))
+        ids = np.concatenate([own, np.array([i for r in rest for i in r], "<u4")])
+        listed = _binary(ids, np.concatenate([[0], ends, len(own) + np.cumsum(lens)]))
+        place = np.where(mask, np.cumsum(mask) - 1, len(ends) + np.cumsum(~mask) - 1)
+        return listed.take(pa.array(place))
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        split = pc.ascii_split_whitespace(column)
+        at, coded = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        if not len(coded):
+            return [b""] * len(column)
+        found = self._chunks(coded.dictionary).take(coded.indices)
+        _, offsets, data = found.buffers()
+        ends = np.frombuffer(offsets, np.int64)[at - at[0]].tolist()
+        return [data[a:b].to_pybytes() for a, b in zip(ends, ends[1:])]
+
+
+def _binary(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Parts of ids, each from one place of `at` to the next, as bytes."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int64)), pa.py_buffer(ids)])
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -107,13 +124,13 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAP
 
         tok, tail = tokenizer(public_tokenizers.path(name)), np.array([end], "<u4").tobytes()
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part, out = b.slice(k, 256), []
-                for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1).to_pylist())):
-                    ids += tail
-                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        cut = ids[at : at + 4 * capacity]
-                        out.append((doc, p, at // 4, len(cut) // 4, zlib.crc32(cut), cut))
+            out = []
+            for doc, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1))):
+                ids += tail
+                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    cut = ids[at : at + 4 * capacity]
+                    out.append((doc, p, at // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
+            if out:
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(cols[: 5 + with_ids], names[: 5 + with_ids])
