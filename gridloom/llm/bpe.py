@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -22,21 +21,31 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import id_text, released
+from gridloom.llm.common import BATCH_BYTES, blocks, id_text, released, text_buffers
 
 #: Table sizes; a full one is emptied, which costs time and changes no result.
-MAX_STATES, MAX_PAIRS, MAX_SEGMENTS = 32_768, 400_000, 200_000
+MAX_STATES, MAX_PAIRS, MAX_PIECES = 32_768, 400_000, 200_000
+#: Pairs held as arrays are 2 to this power; one more takes the place of another.
+PLACE_BITS = 20
 #: Bytes held before settled tokens are looked for.
 HOLD = 512
 #: The characters of White_Space, which \s names in the splitting pattern.
 SPACES = r"\t-\r \x85\xa0  -     　"
-#: Texts are cut before one newline or space that something else than white space follows: the pattern always ends a
-#: match there, and what it finds on either side does not depend on the other.
-LINE_CUT, ODD_SPACE, SPACE_CUT = re.compile(rf"\n(?=[^{SPACES}])"), re.compile(rf" (?:[{SPACES}]|\Z)"), re.compile(rf" (?=[^{SPACES}])")
-#: A segment over so many characters is encoded but not remembered.
-LONG_SEGMENT = 64
-#: Texts are encoded together up to about so many characters, and pieces up to about so many bytes.
-GROUP_CHARS, GROUP_BYTES = 1 << 20, 1 << 18
+#: Texts are cut before a newline or space that something else than white space follows: the pattern always ends a match there,
+#: and what it finds on either side does not depend on the other. Bytes that may begin white space are as good as white space here.
+_GAP, _MAYBE_SPACE = np.zeros(256, bool), np.zeros(256, bool)
+_GAP[[10, 32]] = _MAYBE_SPACE[[9, 10, 11, 12, 13, 32, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Bytes by kind. Those of two-byte letters are letters where all characters with that first byte are, or all but \xd7 and \xf7.
+LETTER, DIGIT, MARK, GAP, ODD = range(5)
+_KIND = np.full(256, ODD, np.uint8)
+_KIND[33:127] = MARK
+_KIND[ord("'")], _KIND[_GAP] = ODD, GAP
+_KIND[48:58], _KIND[65:91], _KIND[97:123], _KIND[0x80:0xC0] = DIGIT, LETTER, LETTER, LETTER
+_KIND[[0xC3] + [x for x in range(0xC4, 0xE0) if all(regex.match(r"\p{L}", bytes([x, y]).decode()) for y in range(0x80, 0xC0))]] = LETTER
+#: A piece over so many bytes is encoded but not remembered.
+LONG_PIECE = 64
+#: Pieces are encoded together up to about so many bytes.
+GROUP_BYTES = 1 << 18
 
 
 class Transducer:
@@ -49,13 +58,9 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.sizes = np.zeros(max(self.tokens) + 1, np.int64)
         self.sizes[list(self.lengths)] = list(self.lengths.values())
-        self._forget()
+        self.keys, self.oks = np.full(1 << PLACE_BITS, -1, np.int64), np.zeros(1 << PLACE_BITS, bool)
         self.reset()
 
-    def _forget(self) -> None:
-        """The pairs as sorted arrays, empty."""
-        self.keys, self.oks = np.zeros(0, np.int64), np.zeros(0, bool)
-
     def reset(self) -> None:
         self.ids: dict[bytes, int] = {b"": 0}
         self.suffixes: list[bytes] = [b""]
@@ -122,20 +127,19 @@ class Transducer:
         return ok
 
     def fit(self, keys: np.ndarray) -> np.ndarray:
-        """fits() of many pairs."""
-        place = np.searchsorted(self.keys, keys)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == keys[known]
-        if not known.all():
-            new = np.unique(keys[~known])
-            if len(self.keys) > MAX_PAIRS:
-                self._forget()
-                new = np.unique(keys)
+        """fits() of many pairs. Each has one place in the arrays, which it may lose to another."""
+        place = self._place(keys)
+        ok = self.oks[place]
+        if len(lack := np.flatnonzero(self.keys[place] != keys)):
+            new, back = np.unique(keys[lack], return_inverse=True)
             oks = np.array([self.fits(k >> 32, k & 0xFFFFFFFF) for k in new.tolist()], bool)
-            where = np.searchsorted(self.keys, new)
-            self.keys, self.oks = np.insert(self.keys, where, new), np.insert(self.oks, where, oks)
-            place = np.searchsorted(self.keys, keys)
-        return self.oks[place]
+            at, ok[lack] = self._place(new), oks[back]
+            self.keys[at], self.oks[at] = new, oks
+        return ok
+
+    @staticmethod
+    def _place(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - PLACE_BITS)).astype(np.int64)
 
     def encode_many(self, pieces: list[bytes]) -> dict[bytes, bytes]:
         """Ids of each piece, as little-endian unsigned 32-bit integers. None is empty."""
@@ -289,76 +293,118 @@ class Utf8Stream:
 
 
 class Codec:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_segments: int = MAX_SEGMENTS):
-        self.fst, self.max_segments = Transducer(ranks), max_segments
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_pieces: int = MAX_PIECES):
+        self.fst, self.max_pieces = Transducer(ranks), max_pieces
         self.pattern = regex.compile(pattern.replace(r"[^\s", rf"[^{SPACES}").replace(r"\s", rf"[{SPACES}]").replace(r"\S", rf"[^{SPACES}]"))
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         table = [b""] * (max(self.fst.tokens) + 1)
         for i, t in self.fst.tokens.items():
             table[i] = t
-        self.table = table
-
-    @staticmethod
-    def segments(text: str) -> list[str]:
-        """The text without the cut space before each segment; a cut newline stays in front. The first one, which may be empty, has none."""
-        out: list[str] = []
-        for k, line in enumerate(LINE_CUT.split(text)):
-            line = "\n" + line if k else line
-            out += SPACE_CUT.split(line) if ODD_SPACE.search(line) else line.split(" ")
-        return out
+        self.table = pa.array(table, pa.large_binary())
 
-    def _found(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of segments as in segments(), after the first."""
-        if len(self.known) >= self.max_segments:
-            # Segments that are met again move over from the older half.
+    def _found(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces, each given once."""
+        if len(self.known) >= self.max_pieces:
+            # Pieces that are met again move over from the older half.
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = wanted - known.keys()
-        again = new & older.keys()
-        known.update((s, older[s]) for s in again)
-        new -= again
-        out = {s: known[s] for s in wanted - new}
-        pieces = {s: self._pieces(s if s[0] == "\n" else " " + s) for s in new}
-        ids = self.fst.encode_many(list({p for found in pieces.values() for p in found}))
-        for s, found in pieces.items():
-            out[s] = joined = b"".join([ids[p] for p in found])
-            if len(s) <= LONG_SEGMENT:
-                known[s] = joined
+        out = [known.get(p) for p in pieces]
+        lack = [k for k, x in enumerate(out) if x is None]
+        new = [k for k in lack if pieces[k] not in older]
+        ids = self.fst.encode_many([pieces[k] for k in new])
+        for k in lack:
+            p = pieces[k]
+            out[k] = x = ids[p] if p in ids else older[p]
+            if len(p) <= LONG_PIECE:
+                known[p] = x
         return out
 
-    def _pieces(self, segment: str) -> list[bytes]:
-        if segment.isascii() and segment[1:].isalpha() and segment[0] == " ":
-            return [segment.encode()]
-        return [p.encode() for p in self.pattern.findall(segment)]
+    @staticmethod
+    def _strange(segments: pa.Array) -> np.ndarray:
+        """Which segments have more than known kinds of characters, with at most one space or newline in front."""
+        raw, offs = _buffers(segments)
+        first, kind = offs[:-1], _KIND[raw]
+        odd = kind >= GAP
+        odd[first] = kind[first] == ODD
+        odd[1:] |= (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7))
+        return np.add.reduceat(odd, first, dtype=np.int64) > 0
 
-    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+    @staticmethod
+    def _runs(segments: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The pieces of segments that are not strange, one after another, and where each segment's end: runs of one kind, a space with what follows it."""
+        raw, offs = _buffers(segments)
+        kind, start = _KIND[raw], np.ones(len(raw) + 1, bool)
+        start[1:-1] = kind[1:] != kind[:-1]
+        start[offs[:-1][raw[offs[:-1]] == 32] + 1] = False
+        start[offs] = True
+        at = np.flatnonzero(start)
+        return _binary(raw, at), np.searchsorted(at, offs[1:])
+
+    def _ids(self, segments: pa.Array) -> pa.Array:
+        """The ids of each segment; pieces of strange ones are found by the pattern."""
+        strange = self._strange(segments)
+        rest = [[p.encode() for p in self.pattern.findall(s.decode())] for s in segments.filter(pa.array(strange)).to_pylist()]
+        pieces, ends = self._runs(segments.filter(pa.array(~strange)))
+        coded = pa.concat_arrays([pieces, pa.array([p for r in rest for p in r], pa.large_binary())]).dictionary_encode()
+        _, offsets, data = pa.array(self._found(_listed(coded.dictionary)), pa.large_binary()).take(coded.indices).buffers()
+        at = np.concatenate([[0], ends, len(pieces) + np.cumsum(list(map(len, rest)), dtype=np.int64)])
+        listed = _binary(data, np.frombuffer(offsets, np.int64)[at])
+        return listed.take(pa.array(np.where(strange, len(ends) + np.cumsum(strange), np.cumsum(~strange)) - 1))
+
+    def encode_all(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        i = 0
-        while i < len(texts):
-            j, size = i, 0
-            while j < len(texts) and size < GROUP_CHARS:
-                size += len(texts[j])
-                j += 1
-            cut = [self.segments(t) for t in texts[i:j]]
-            firsts = [self._pieces(c[0]) if c[0] else [] for c in cut]
-            first = self.fst.encode_many(list({p for f in firsts for p in f}))
-            found = self._found({s for c in cut for s in c[1:]}).__getitem__
-            for f, c in zip(firsts, cut):
-                yield b"".join([first[p] for p in f] + list(map(found, c[1:])))
-            i = j
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(column):
+            return
+        raw, offs = text_buffers(column)
+        for i, j in blocks(offs, BATCH_BYTES):
+            b, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
+            if not len(b):
+                yield from [b""] * (j - i)
+                continue
+            # Segments begin at rows and at cuts; the end of a row is no cut.
+            cut = np.zeros(len(b) + 1, bool)
+            cut[: len(b) - 1] = _GAP[b[:-1]] & ~_MAYBE_SPACE[b[1:]]
+            cut[at[1:][at[1:] > 0] - 1] = False
+            cut[at] = True
+            starts = np.flatnonzero(cut)
+            segments = _binary(b, starts).dictionary_encode()
+            _, offsets, data = self._ids(segments.dictionary).take(segments.indices).buffers()
+            ends = np.frombuffer(offsets, np.int64)[np.searchsorted(starts, at)].tolist()
+            for x, y in zip(ends, ends[1:]):
+                yield data[x:y].to_pybytes()
 
     def encode(self, text: str) -> bytes:
         return next(self.encode_all([text]))
 
     def decode(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """Text as it becomes certain; bytes that are not UTF-8 come as U+FFFD."""
-        stream, table, ids = Utf8Stream(), self.table, list(ids)
+        stream, table = Utf8Stream(), self.table
+        ids = ids if isinstance(ids, np.ndarray) else np.array(list(ids), np.int64)
         for k in range(0, len(ids), chunk):
-            yield stream.feed(b"".join([table[i] for i in ids[k : k + chunk]]))
+            yield stream.feed(table.take(pa.array(ids[k : k + chunk])).buffers()[2].to_pybytes())
         yield stream.close()
 
 
+def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all rows, and where each row starts and the last one ends; rows as they come from a filter or a dictionary."""
+    _, offsets, data = column.buffers()
+    offs = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[offs[0] : offs[-1]] if offs[-1] else np.zeros(0, np.uint8), offs - offs[0]
+
+
+def _binary(data: np.ndarray | pa.Buffer, at: np.ndarray) -> pa.Array:
+    """Parts of data, each from one place of `at` to the next."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(data)])
+
+
+def _listed(column: pa.Array) -> list[bytes]:
+    raw, offs = _buffers(column)
+    data, offs = raw.tobytes(), offs.tolist()
+    return [data[x:y] for x, y in zip(offs, offs[1:])]
+
+
 @lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
     """One per Python worker. The file is read where the package is installed, on every machine."""
@@ -379,9 +425,7 @@ def encoded(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*vocabulary(name))
         for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(c.encode_all(part.column(1).to_pylist())), pa.binary())], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(c.encode_all(b.column(1))), pa.binary())], ["doc_id", "ids"])
 
     return id_text(docs).mapInArrow(released(run), "doc_id long, ids binary")
 
@@ -392,7 +436,7 @@ def decoded(ids: DataFrame, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*vocabulary(name))
         for b in batches:
-            texts = ["".join(c.decode(np.frombuffer(x or b"", "<u4").tolist())) for x in b.column(1).to_pylist()]
+            texts = ["".join(c.decode(np.frombuffer(x or b"", "<u4"))) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return ids.select("doc_id", "ids").mapInArrow(released(run), "doc_id long, text string")
@@ -405,11 +449,11 @@ def round_trip_digests(docs: DataFrame, name: str = "byte_bpe_50k.tiktoken") ->
         c = codec(*vocabulary(name))
         for b in batches:
             n, ids_sha, text_sha = [], [], []
-            for ids in c.encode_all(b.column(1).to_pylist()):
+            for ids in c.encode_all(b.column(1)):
                 n.append(len(ids) // 4)
                 ids_sha.append(hashlib.sha256(ids).hexdigest())
                 digest = hashlib.sha256()
-                for part in c.decode(np.frombuffer(ids, "<u4").tolist()):
+                for part in c.decode(np.frombuffer(ids, "<u4")):
                     digest.update(part.encode())
                 text_sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
