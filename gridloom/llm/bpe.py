@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gridloom.llm.common import BATCH_BYTES, blocks, id_text, released, text_buffers
+from gridloom.llm.common import TOGETHER, blocks, id_text, released, text_buffers
 
 #: Table sizes; a full one is emptied, which costs time and changes no result.
 MAX_STATES, MAX_PAIRS, MAX_PIECES = 32_768, 400_000, 200_000
@@ -358,7 +358,7 @@ class Codec:
         if not len(column):
             return
         raw, offs = text_buffers(column)
-        for i, j in blocks(offs, BATCH_BYTES):
+        for i, j in blocks(offs, TOGETHER):
             b, at = raw[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
             if not len(b):
                 yield from [b""] * (j - i)

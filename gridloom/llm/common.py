@@ -19,6 +19,8 @@ WORD_SPLIT = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Arrow text is hashed in blocks of whole documents of about this size, which bounds numpy's memory.
 BLOCK_BYTES = 1 << 20
+#: Texts are tokenised together up to about so many bytes: their distinct words are looked up once, and memory follows this, not the batch.
+TOGETHER = 2 << 20
 #: Arrow batches hold about so many bytes unless the session says otherwise, so that a Python worker's memory follows neither the
 #: number of rows nor their length; a longer text stands alone.
 BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import id_text, stored, released
+from gridloom.llm.common import TOGETHER, blocks, id_text, released, stored, text_buffers
 
 CAPACITY, END = 4096, 1
 #: Pieces packed together by one task. Each shard may end with one bin that is not full, so more costs memory and saves bins.
@@ -59,7 +59,7 @@ class WordTokenizer:
                 for r in [ranks.get(t + INNER), ranks.get(t + OUTER)] if s.endswith("</w>") else [ranks.get(t)]:
                     if r is not None:
                         self.ids[r] = i
-        self.bpe = tiktoken.Encoding("words", pat_str=r"[^ \n]+[ \n]", mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("words", pat_str=r"[^ \n]+[ \n]", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_to_tiktoken_buffer
 
     def _plain(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of chunks of plain letters, digits and marks one after another, by the ranks, and where each chunk's end."""
@@ -69,7 +69,7 @@ class WordTokenizer:
         # Letters make pieces as long as they go, and marks; each digit is one. OUTER ends the last piece of a chunk.
         inner = np.flatnonzero(((kind[:-1] != kind[1:]) | (kind[:-1] == 1)) & (kind[:-1] != 3) & (kind[1:] != 3))
         out = np.insert(b, inner + 1, INNER[0])
-        tokens = self.bpe.encode_to_numpy(out.tobytes().decode(), disallowed_special=())
+        tokens = np.frombuffer(self.bpe(out.tobytes().decode(), set()), np.uint32)
         return self.ids[tokens], np.flatnonzero(tokens & 1) + 1
 
     def _chunks(self, chunks: pa.Array) -> pa.Array:
@@ -124,13 +124,13 @@ def pieces(docs: DataFrame, name: str = "word_bpe_49k.json", capacity: int = CAP
 
         tok, tail = tokenizer(public_tokenizers.path(name)), np.array([end], "<u4").tobytes()
         for b in batches:
-            out = []
-            for doc, ids in zip(b.column(0).to_pylist(), tok.encode(b.column(1))):
-                ids += tail
-                for p, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = ids[at : at + 4 * capacity]
-                    out.append((doc, p, at // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
-            if out:
+            for i, j in blocks(text_buffers(b.column(1))[1], TOGETHER) if b.num_rows else ():
+                part, out = b.slice(i, j - i), []
+                for doc, ids in zip(part.column(0).to_pylist(), tok.encode(part.column(1))):
+                    ids += tail
+                    for p, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        cut = ids[at : at + 4 * capacity]
+                        out.append((doc, p, at // 4, len(cut) // 4, zlib.crc32(cut), cut if with_ids else None))
                 cols = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
                 yield pa.RecordBatch.from_arrays(cols[: 5 + with_ids], names[: 5 + with_ids])
